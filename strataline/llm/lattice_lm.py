@@ -4,17 +4,17 @@ The pieces of an existing vocabulary are the arcs of a lattice over a word; a
 segmentation weighs the product of its pieces' weights, and the probability of
 the word is the sum over all its segmentations, by the forward recursion in log
 space.  Piece weights start from the vocabulary's own scores (ranks, read as a
-Zipf distribution) and take one step of expectation maximisation over the words
-of the training documents, by forward and backward recursion.
+Zipf distribution) and take steps of expectation maximisation over the words of
+the training documents, by forward and backward recursion.
 
-Words seen in training are arcs of the lattice too, with their observed share;
-the mass that Good and Turing leave to unseen words goes to the pieces:
+Each of the most frequent languages k of the training documents has weights of
+its own.  Words seen in training are arcs of the lattice too, with their share
+in the language, smoothed towards all training words; the mass that Good and
+Turing leave to the unseen words of the language goes to its pieces:
 
-    P(w) = (1 - d) c(w) / N + d P_pieces(w)
+    P_k(w) = (1 - d_k) (c_k(w) + m c(w) / N) / (N_k + m) + d_k P_pieces,k(w)
 
-Each of the most frequent languages of the training documents has its own such
-distribution, smoothed towards the common one, and the probability of a text is
-the marginal over the languages: sum_k pi_k prod_w P_k(w).
+The probability of a text is the marginal sum_k pi_k prod_w P_k(w).
 
 Counting is a grouped sum over all training documents.  The most frequent words
 (a bounded number of short words) are scored where the text is read; the others
@@ -51,6 +51,7 @@ class LatticeConfig:
     head_bytes: int = 48
     components: int = 5
     smoothing: float = 300.0
+    steps: int = 2
     folds: int = 5
 
 
@@ -111,33 +112,37 @@ class Pieces:
                     out[start, start + size] = (rows, self.ids[at[rows, start]])
         return out
 
-    def fallback(self, codes: np.ndarray, arcs: dict, log_weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """Characters without a piece, spelt in bytes: (start, rows, log weight, byte ids of each row)."""
+    def fallback(self, codes: np.ndarray, arcs: dict) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Characters without a piece, spelt in bytes: (start, rows, byte ids of each row)."""
         for start in range(codes.shape[1]):
             none = np.ones(len(codes), bool)
             if (start, start + 1) in arcs:
                 none[arcs[start, start + 1][0]] = False
             rows = np.flatnonzero(none)
             if len(rows):
-                ids = [self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes[rows, start].tolist()]
-                yield start, rows, np.array([log_weight[i].sum() for i in ids]), ids
+                yield start, rows, [self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes[rows, start].tolist()]
 
     def forward(self, codes: np.ndarray, log_weight: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log of the summed weight of all segmentations; adds expected piece counts if asked to."""
+        """Log of the summed weight of all segmentations, a row for each word and a column for each component.
+
+        log_weight is piece x component.  With counts (word x component), the
+        expected piece counts are added to ``expected``.
+        """
         n, length = codes.shape
+        k = log_weight.shape[1]
         arcs = self.arcs(codes)
         ends: list[list] = [[] for _ in range(length + 1)]
         for (a, b), (rows, ids) in arcs.items():
             ends[b].append((a, rows, log_weight[ids], ids))
-        for a, rows, lw, ids in self.fallback(codes, arcs, log_weight):
-            ends[a + 1].append((a, rows, lw, ids))
-        alpha = np.full((length + 1, n), -np.inf)
+        for a, rows, ids in self.fallback(codes, arcs):
+            ends[a + 1].append((a, rows, np.array([log_weight[i].sum(0) for i in ids]), ids))
+        alpha = np.full((length + 1, n, k), -np.inf)
         alpha[0] = 0
         for b in range(1, length + 1):
             for a, rows, lw, _ in ends[b]:
                 alpha[b, rows] = np.logaddexp(alpha[b, rows], alpha[a, rows] + lw)
         if expected is not None:
-            beta = np.full((length + 1, n), -np.inf)
+            beta = np.full((length + 1, n, k), -np.inf)
             beta[length] = 0
             for b in range(length, 0, -1):
                 for a, rows, lw, ids in ends[b]:
@@ -145,17 +150,20 @@ class Pieces:
                     beta[a, rows] = np.logaddexp(beta[a, rows], through)
                     share = counts[rows] * np.exp(alpha[a, rows] + through - alpha[length, rows])
                     if isinstance(ids, list):
-                        for i, s in zip(ids, share, strict=True):
-                            np.add.at(expected, i, s)
+                        for i, x in zip(ids, share, strict=True):
+                            np.add.at(expected, i, x)
                     else:
-                        np.add.at(expected, ids, share)
+                        for c in range(k):
+                            expected[:, c] += np.bincount(ids, share[:, c], self.size) if len(ids) > 2000 else 0
+                        if len(ids) <= 2000:
+                            np.add.at(expected, ids, share)
         return alpha[length]
 
     def score(self, words: list[bytes], log_weight: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """forward() of each word with its start mark, in groups of one length."""
         texts = ["▁" + w.decode("utf-8", "replace") for w in words]
         lengths = np.array([len(t) for t in texts])
-        out = np.zeros(len(words))
+        out = np.zeros((len(words), log_weight.shape[1]))
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             step = max(1, (1 << 18) // int(length))
@@ -171,9 +179,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame, languages: list[str], cfg: LatticeConfig) -> DataFrame:
+def count_words(docs: DataFrame, languages: list[str], n: int, cfg: LatticeConfig) -> DataFrame:
     """word, uses (in all documents), c0.. (in the training documents of each component), in partial sums."""
-    n = len(languages) + 1
     component = F.coalesce(F.array_position(F.array(*map(F.lit, languages)), docs["lang"]) - 1, F.lit(-1)) if languages else F.lit(-1)
     component = F.when(component >= 0, component).otherwise(n - 1)
     train = F.coalesce(fold(docs["doc_id"], cfg.folds) != 1, F.lit(False))
@@ -200,23 +207,30 @@ def count_words(docs: DataFrame, languages: list[str], cfg: LatticeConfig) -> Da
     return rows.mapInArrow(work, "word binary, uses long, " + ", ".join(f"c{k} long" for k in range(n)))
 
 
-def _train_weights(vocab: DataFrame, pieces: Pieces, cfg: LatticeConfig) -> np.ndarray:
-    """Piece weights after one step of expectation maximisation, with half a count for each piece."""
-    path, initial = cfg.vocabulary, np.log(np.maximum(pieces.initial, 1e-300))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(path)
-        expected = np.zeros(own.size)
-        for batch in batches:
-            own.score([w.as_py() for w in batch.column("word")], initial, batch.column("c").to_numpy().astype(float), expected)
-        at = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(expected[at], pa.float64())], ["piece", "n"])
-
-    seen = vocab.where("c > 0").select("word", "c").mapInArrow(work, "piece int, n double")
-    expected = np.where(pieces.initial > 0, 0.5, 0.0)
-    for r in seen.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # at most one row for each piece
-        expected[r["piece"]] += r["n"]
-    return np.log(np.maximum(expected / expected.sum(), 1e-300))
+def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: LatticeConfig) -> np.ndarray:
+    """Log piece weights (piece x component) after the steps; each piece keeps a share of a first count of all."""
+    path, n = cfg.vocabulary, len(cs)
+    log_weight = np.repeat(np.log(np.maximum(pieces.initial, 1e-300))[:, None], n, axis=1)
+    names = ["piece", *[f"e{k}" for k in range(n)]]
+    for _ in range(cfg.steps):
+        current = log_weight
+
+        def work(batches: Iterator[pa.RecordBatch], current: np.ndarray = current) -> Iterator[pa.RecordBatch]:
+            own = Pieces(path)
+            expected = np.zeros((own.size, n))
+            for batch in batches:
+                counts = np.stack([batch.column(c).to_numpy() for c in cs], axis=1).astype(float)
+                own.score([w.as_py() for w in batch.column("word")], current, counts, expected)
+            at = np.flatnonzero(expected.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(expected[at, k])) for k in range(n))], names)
+
+        seen = vocab.where("c > 0").select("word", *cs).mapInArrow(work, "piece int, " + ", ".join(f"{x} double" for x in names[1:]))
+        expected = np.zeros((pieces.size, n))
+        for r in seen.groupBy("piece").agg(*[F.sum(x).alias(x) for x in names[1:]]).collect():  # at most one row for each piece
+            expected[r["piece"]] = r[1:]
+        expected += 20 * pieces.initial[:, None] + 1e-3 * (pieces.initial[:, None] > 0)
+        log_weight = np.log(np.maximum(expected / expected.sum(0), 1e-300))
+    return log_weight
 
 
 def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
@@ -225,45 +239,46 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
     train = docs.where(F.coalesce(fold(docs["doc_id"], cfg.folds) != 1, F.lit(False)))
     per = train.groupBy(train["lang"].alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(cfg.components + 1).collect()
     languages = [r["lang"] for r in per if r["lang"] is not None][: cfg.components]
-    n_comp = len(languages) + 1
-    cs = [f"c{k}" for k in range(n_comp)]
     d_all = train.agg(F.count("*")).first()[0]
     d = [next(r["n"] for r in per if r["lang"] == x) for x in languages]
-    d.append(d_all - sum(d))
-    counted = count_words(docs, languages, cfg).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", *cs)])
+    if d_all > sum(d) or not d:
+        d.append(d_all - sum(d))
+    n_comp = len(d)
+    cs = [f"c{k}" for k in range(n_comp)]
+    counted = count_words(docs, languages, n_comp, cfg).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", *cs)])
     vocab = durable(counted.withColumn("c", sum((F.col(c) for c in cs[1:]), F.col(cs[0]))), "words")
-    totals = vocab.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cs], F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)).alias("once")).first()
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
+    totals = vocab.agg(*[total(c, c) for c in cs], *[total((F.col(c) == 1).cast("long"), f"once_{c}") for c in cs], total((F.col("c") > 0).cast("long"), "v")).first()
     n_k = [totals[c] + x for c, x in zip(cs, d, strict=True)]
     n_all, v_all = sum(n_k), totals["v"] + (d_all > 0)
-    unseen = (totals["once"] + 1) / (n_all + 2) if n_all else 1.0
+    unseen = [(totals[f"once_{c}"] + 1) / (x + 2) if n_all else 1.0 for c, x in zip(cs, n_k, strict=True)]
     mu = cfg.smoothing
-    weights = _train_weights(vocab, Pieces(cfg.vocabulary), cfg)
-    path = cfg.vocabulary
+    weights = _train_weights(vocab, Pieces(cfg.vocabulary), cs, cfg)
+    path, ws = cfg.vocabulary, [f"w{k}" for k in range(n_comp)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(path)
         for batch in batches:
             found = own.score([w.as_py() for w in batch.column("word")], weights) / LN10
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "uses", "c", *cs)), pa.array(found)], ["word", "uses", "c", *cs, "pieces"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "uses", "c", *cs)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_comp))], ["word", "uses", "c", *cs, *ws])
 
-    weighed = vocab.select("word", "uses", "c", *cs).mapInArrow(weigh, "word binary, uses long, c long, " + ", ".join(f"{c} long" for c in cs) + ", pieces double")
-    common = F.when(F.col("c") > 0, F.log10((1 - unseen) * F.col("c") / max(n_all, 1) + unseen * F.pow(F.lit(10.0), F.col("pieces")))).otherwise(math.log10(unseen) + F.col("pieces"))
+    weighed = vocab.select("word", "uses", "c", *cs).mapInArrow(weigh, "word binary, uses long, c long, " + ", ".join(f"{c} long" for c in cs) + ", " + ", ".join(f"{w} double" for w in ws))
 
     def component(k: int) -> Column:
-        """log10 of (c_k + mu P) / (N_k + mu); by logs where c_k is 0, as P may be too small for a double."""
-        return F.when(F.col(f"c{k}") > 0, F.log10(F.col(f"c{k}") + mu * F.pow(F.lit(10.0), F.col("common")))).otherwise(math.log10(mu) + F.col("common")) - math.log10(n_k[k] + mu)
+        """log10 P_k; by logs where the word is unseen, as the pieces' share may be too small for a double."""
+        words = (1 - unseen[k]) * (F.col(f"c{k}") + mu * F.col("c") / max(n_all, 1)) / (n_k[k] + mu)
+        return F.when(F.col("c") > 0, F.log10(words + unseen[k] * F.pow(F.lit(10.0), F.col(f"w{k}")))).otherwise(math.log10(unseen[k]) + F.col(f"w{k}"))
 
     base = F.log10((F.col("c") + 0.5) / (n_all + 0.5 * (v_all + 1)))
-    model = weighed.select("word", "uses", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), *cs, common.alias("common"))
-    model = durable(model.select("word", "uses", "known", "base", *[component(k).alias(f"p{k}") for k in range(n_comp)]), "model")
+    model = durable(weighed.select("word", "uses", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), *[component(k).alias(f"p{k}") for k in range(n_comp)]), "model")
     ps = [f"p{k}" for k in range(n_comp)]
     head_rows = model.where(F.octet_length("word") <= cfg.head_bytes).orderBy(F.desc("uses"), "word").limit(cfg.head_words)
     head = head_rows.select("word", "known", "base", *ps).toArrow()
     words = spark.sparkContext.broadcast(head.column("word").to_pylist())
     table = spark.sparkContext.broadcast(np.stack([head.column(c).to_numpy().astype(np.float64) for c in ("known", "base", *ps)], axis=1) if head.num_rows else np.zeros((0, 2 + n_comp)))
-    end_p = (1 - unseen) * d_all / max(n_all, 1)
+    end_p = [(1 - u) * (x + mu * d_all / max(n_all, 1)) / (y + mu) for u, x, y in zip(unseen, d, n_k, strict=True)]
     floor = 1e-12  # the end where no training document is left to show one
-    end = [float(d_all > 0), math.log10((d_all + 0.5) / (n_all + 0.5 * (v_all + 1))), *[math.log10(max((d[k] + mu * end_p) / (n_k[k] + mu), floor)) for k in range(n_comp)]]
+    end = [float(d_all > 0), math.log10((d_all + 0.5) / (n_all + 0.5 * (v_all + 1))), *[math.log10(max(p, floor)) for p in end_p]]
     rows = docs.select(docs["doc_id"], held_out(docs["doc_id"], cfg.folds).alias("held_out"), F.monotonically_increasing_id().alias("row"), docs["text"].alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sums = ["known", "base", *ps]
