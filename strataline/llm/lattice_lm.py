@@ -31,6 +31,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,7 @@ class Pieces:
         if expected is not None:
             beta = np.full((length + 1, n, k), -np.inf)
             beta[length] = 0
+            hits: list[tuple[np.ndarray, np.ndarray]] = []
             for b in range(length, 0, -1):
                 for a, rows, lw, ids in ends[b]:
                     through = lw + beta[b, rows]
@@ -153,10 +155,11 @@ class Pieces:
                         for i, x in zip(ids, share, strict=True):
                             np.add.at(expected, i, x)
                     else:
-                        for c in range(k):
-                            expected[:, c] += np.bincount(ids, share[:, c], self.size) if len(ids) > 2000 else 0
-                        if len(ids) <= 2000:
-                            np.add.at(expected, ids, share)
+                        hits.append((ids, share))
+            if hits:
+                ids, share = (np.concatenate(x) for x in zip(*hits, strict=True))
+                for c in range(share.shape[1]):
+                    expected[:, c] += np.bincount(ids, share[:, c], self.size)
         return alpha[length]
 
     def score(self, words: list[bytes], log_weight: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
@@ -174,6 +177,19 @@ class Pieces:
         return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Batches put together, so that words of one length come in large groups."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case (as UTF-8)."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -210,7 +226,7 @@ def count_words(docs: DataFrame, languages: list[str], n: int, cfg: LatticeConfi
 def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: LatticeConfig) -> np.ndarray:
     """Log piece weights (piece x component) after the steps; each piece keeps a share of a first count of all."""
     path, n = cfg.vocabulary, len(cs)
-    log_weight = np.repeat(np.log(np.maximum(pieces.initial, 1e-300))[:, None], n, axis=1)
+    log_weight = np.log(np.maximum(pieces.initial, 1e-300))[:, None]  # one column serves all components at first
     names = ["piece", *[f"e{k}" for k in range(n)]]
     for _ in range(cfg.steps):
         current = log_weight
@@ -218,7 +234,7 @@ def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: Lattice
         def work(batches: Iterator[pa.RecordBatch], current: np.ndarray = current) -> Iterator[pa.RecordBatch]:
             own = Pieces(path)
             expected = np.zeros((own.size, n))
-            for batch in batches:
+            for batch in gathered(batches):
                 counts = np.stack([batch.column(c).to_numpy() for c in cs], axis=1).astype(float)
                 own.score([w.as_py() for w in batch.column("word")], current, counts, expected)
             at = np.flatnonzero(expected.any(1))
@@ -258,9 +274,9 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(path)
-        for batch in batches:
+        for batch in gathered(batches):
             found = own.score([w.as_py() for w in batch.column("word")], weights) / LN10
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "uses", "c", *cs)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_comp))], ["word", "uses", "c", *cs, *ws])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).combine_chunks() for c in ("word", "uses", "c", *cs)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_comp))], ["word", "uses", "c", *cs, *ws])
 
     weighed = vocab.select("word", "uses", "c", *cs).mapInArrow(weigh, "word binary, uses long, c long, " + ", ".join(f"{c} long" for c in cs) + ", " + ", ".join(f"{w} double" for w in ws))
 
@@ -290,7 +306,7 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
             n, acc, rest_words, rest_counts = [], [], [], []
             for text in batch.column("text"):
                 found = tokens(text.as_py())
-                at = np.fromiter((index.get(w, -1) for w in found), np.int64, len(found))
+                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
                 hit = at >= 0
                 acc.append(numbers[at[hit]].sum(0) + end)
                 rest = Counter(found[i] for i in np.flatnonzero(~hit))
