@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ class TokenBytes(dict):
     text are those of its chunks in a row.
     """
 
-    LIMIT = 300_000
+    LIMIT = 1_000_000
     # str.split() also splits here, where the tokenizer sees no white space
     ODD = re.compile("[\x1c-\x1f]")
 
@@ -57,22 +60,56 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.encode(chunk)
-        if len(self) >= self.LIMIT:
+        return self.encode(chunk)  # one too long to keep
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that are new, all in one call.
+
+        A word and the mark that ends it are pieces of their own, and letters
+        are put into lower case, so these forms of a word share its ids.
+        """
+        parts = []
+        for c in chunks:
+            body, mark = (c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else (c, "")
+            parts.append((body.lower() if body.isascii() else body, mark))
+        fresh = list({x for p in parts for x in p if x not in self.words})
+        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.words[word] = self.bytes_of(found.ids)
+        words = self.words
+        for chunk, (body, mark) in zip(chunks, parts, strict=True):
+            self[chunk] = words[body] + words[mark]
+
+    @staticmethod
+    def bytes_of(ids: list[int]) -> bytes:
+        found = array("I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.ODD.search(t) else t.split() for t in texts]
+        fresh: set[str] = set()
+        for chunks in split:
+            if chunks:
+                fresh.update(chunks)
+        # should learning empty the table, what was known is learnt again
+        if len(self) + len(fresh) > self.LIMIT:
             self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
+            self.words.clear()
+        self.learn([c for c in fresh if c not in self and len(c) <= 64])
+        return [self.encode(t) if chunks is None else b"".join(map(self.__getitem__, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
-    def of(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    """One for each Python worker, kept from task to task."""
+    return TokenBytes(path)
 
 
 class CapacityTree:
@@ -151,11 +188,12 @@ def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
     end = np.array([cfg.end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenBytes(cfg.tokenizer)
-        for batch in batches:
+        encoder = token_bytes(cfg.tokenizer)
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, max(1, b.num_rows), 1024)):
             at, out = [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = encoder.of(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for k, found in enumerate(encoder.of(texts)):
+                ids = found + end
                 for i, a in enumerate(range(0, len(ids), 4 * cfg.capacity)):
                     part = ids[a : a + 4 * cfg.capacity]
                     at.append(k)

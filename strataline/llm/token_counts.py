@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,7 @@ def _byte_of_char() -> dict[str, int]:
 class PrefixCounter:
     """Prefix tables over one vocabulary file."""
 
-    LIMIT = 300_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -62,7 +64,8 @@ class PrefixCounter:
         back = _byte_of_char()
         self.ids = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in back for c in t)}
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.suffixes = {b[i:] for b in self.ids for i in range(len(b))}
+        self.endings = dict.fromkeys((b[i:] for b in self.ids for i in range(len(b))), -1)  # -1: the end of a token, but none itself
+        self.endings.update(self.ids)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {}
         for r, (a, b) in enumerate(pairs):
@@ -70,7 +73,9 @@ class PrefixCounter:
             self.rank[self.ids[left], self.ids[right]] = (r, self.ids[left + right])
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, dict[int, bool]] = {}
+        self.agreed = 0
+        self.pieces: dict[bytes, list[int]] = {}
         self.totals: dict[str, int] = {}
         self.tables: dict[str, bytes] = {}
 
@@ -93,32 +98,53 @@ class PrefixCounter:
             ids = out
         return ids
 
+    def after(self, a: int) -> dict[int, bool]:
+        """What is known of the tokens that can stand right after token a (-1: at the start)."""
+        return self.agree.setdefault(a, {})
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether token b can stand right after token a (-1: at the start)."""
-        found = self.agree.get((a, b))
-        if found is None:
-            joint = self.bytes_of.get(a, b"") + self.bytes_of[b]
-            found = self.merge(joint) == ([b] if a < 0 else [a, b])
-            if len(self.agree) >= 2_000_000:
-                self.agree.clear()
-            self.agree[a, b] = found
+        """Whether token b can stand right after token a; remembered in after(a)."""
+        joint = self.bytes_of.get(a, b"") + self.bytes_of[b]
+        found = self.merge(joint) == ([b] if a < 0 else [a, b])
+        self.after(a)[b] = found
+        self.agreed += 1
         return found
 
+    def fill(self, wanted: Iterable[bytes]) -> None:
+        """Tables of pieces that the split pattern keeps whole.
+
+        In sorted order, a piece starts with the table of the prefix that it
+        shares with the one before.
+        """
+        if self.agreed > 3_000_000:
+            self.agree.clear()
+            self.agreed = 0
+        endings, before = self.endings, b""
+        count, last, known = [0], [-1], [self.after(-1)]
+        for data in sorted(wanted):
+            n = len(commonprefix((before, data)))
+            del count[n + 1 :], last[n + 1 :], known[n + 1 :]
+            for end in range(n + 1, len(data) + 1):
+                start = end - 1
+                while start >= 0 and (token := endings.get(data[start:end])) is not None:
+                    if token >= 0:
+                        fits = known[start].get(token)
+                        if self.follows(last[start], token) if fits is None else fits:
+                            break
+                    start -= 1
+                else:
+                    raise ValueError("the vocabulary has no consistent last token")
+                count.append(count[start] + 1)
+                last.append(token)
+                known.append(self.after(token))
+            before = data
+            self.pieces[data] = count[1:]
+
     def piece(self, data: bytes) -> list[int]:
-        """Token counts at the prefixes 1..n of one piece that the split pattern keeps whole."""
-        count, last = [0], [-1]
-        for end in range(1, len(data) + 1):
-            start = end - 1
-            while start >= 0 and (part := data[start:end]) in self.suffixes:
-                token = self.ids.get(part)
-                if token is not None and self.follows(last[start], token):
-                    break
-                start -= 1
-            else:
-                raise ValueError("the vocabulary has no consistent last token")
-            count.append(count[start] + 1)
-            last.append(token)
-        return count[1:]
+        """Token counts at the prefixes 1..n of one piece."""
+        if data not in self.pieces:
+            self.fill([data])
+        return self.pieces[data]
 
     def chunk(self, text: str) -> list[int]:
         """Token counts at the byte prefixes of one chunk."""
@@ -139,12 +165,23 @@ class PrefixCounter:
     def learn(self, chunk: str) -> int:
         counts = self.chunk(chunk)
         if len(counts) <= 64:
-            if len(self.totals) >= self.LIMIT:
-                self.totals.clear()
-                self.tables.clear()
             self.totals[chunk], self.tables[chunk] = counts[-1], bytes(counts)
         return counts[-1]
 
+    def prepare(self, texts: list[str]) -> None:
+        """Makes the tables of all new chunks of some texts together."""
+        fresh: set[str] = set()
+        for t in texts:
+            fresh.update(CHUNK.findall(t))
+        if len(self.totals) + len(fresh) > self.LIMIT:
+            self.totals.clear()
+            self.tables.clear()
+        self.pieces.clear()
+        fresh = {c for c in fresh if c not in self.totals and len(c) <= 64}
+        self.fill({p.encode() for c in fresh for p in SPLIT.findall(c)})
+        for c in fresh:
+            self.learn(c)
+
     def table(self, text: str) -> PrefixTable:
         parts, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
@@ -204,17 +241,24 @@ class PrefixTable:
         return size + fit
 
 
+@lru_cache(maxsize=2)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One for each Python worker, kept from task to task."""
+    return PrefixCounter(path)
+
+
 def count_tokens(docs: DataFrame, cfg: CountConfig) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_bytes (bytes that fit into the limit)."""
     rows = fields(docs, "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(cfg.tokenizer)
-        for batch in batches:
+        counter = prefix_counter(cfg.tokenizer)
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, max(1, b.num_rows), 1024)):
             out = []
-            for t in batch.column("text"):
-                text = t.as_py() or ""
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            counter.prepare(texts)
+            for text in texts:
                 table, size = counter.table(text), len(text.encode())
                 over = table.n_tokens > cfg.limit
                 out.append((size, table.n_tokens, over, table.longest(cfg.limit) if over else size))
