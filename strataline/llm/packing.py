@@ -25,6 +25,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,25 @@ class TokenBytes(dict):
     text are those of its chunks in a row.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     # str.split() also splits here, where the tokenizer sees no white space
     ODD = re.compile("[\x1c-\x1f]")
+    # letters whose lower case is no single letter, or depends on where they stand
+    CASES = re.compile("[\u03a3\u0130]")
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        # for words that the normalizer would leave as they are: the same model, split at white space only
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.plain.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -74,16 +83,45 @@ class TokenBytes(dict):
         A word and the mark that ends it are pieces of their own, and letters
         are put into lower case, so these forms of a word share its ids.
         """
-        parts = []
+        parts, letters, others = [], set(), set()
         for c in chunks:
+            if c.isascii() and c.isalpha():
+                low = c.lower()
+                letters.add(low)
+                if low != c:
+                    parts.append((c, low, ""))
+                continue
             body, mark = (c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else (c, "")
-            parts.append((body.lower() if body.isascii() else body, mark))
-        fresh = list({x for p in parts for x in p if x not in self.words})
+            low = body.lower()
+            if low.isalpha() and (body.isascii() or (body.isalpha() and is_normalized("NFC", body) and not self.CASES.search(body))):
+                letters.add(low)
+                body = low
+            elif mark and low.isalpha():
+                others.add(body)
+            else:  # a mark may join a lower case that ends in no letter
+                body, mark = c, ""
+                others.add(c)
+            if mark:
+                others.add(mark)
+            if mark or body != c:
+                parts.append((c, body, mark))
+        known = self.keys()
+        self.spell(list(letters - known))
+        fresh = list(others - known)
         for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[word] = self.bytes_of(found.ids)
-        words = self.words
-        for chunk, (body, mark) in zip(chunks, parts, strict=True):
-            self[chunk] = words[body] + words[mark]
+            self[word] = self.bytes_of(found.ids)
+        for chunk, body, mark in parts:
+            self[chunk] = self[body] + self[mark] if mark else self[body]
+
+    def spell(self, words: list[str]) -> None:
+        """Ids of words of lower-case letters, many in one text; the last token of each is marked as one."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            found = self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            raw, ends = self.bytes_of(found), (4 * (1 + np.flatnonzero(self.last[found]))).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a word is not one piece")
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     @staticmethod
     def bytes_of(ids: list[int]) -> bytes:
@@ -101,8 +139,7 @@ class TokenBytes(dict):
         # should learning empty the table, what was known is learnt again
         if len(self) + len(fresh) > self.LIMIT:
             self.clear()
-            self.words.clear()
-        self.learn([c for c in fresh if c not in self and len(c) <= 64])
+        self.learn([c for c in fresh - self.keys() if len(c) <= 64])
         return [self.encode(t) if chunks is None else b"".join(map(self.__getitem__, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
 
