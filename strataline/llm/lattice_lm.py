@@ -31,6 +31,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -196,31 +197,35 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def count_words(docs: DataFrame, languages: list[str], n: int, cfg: LatticeConfig) -> DataFrame:
-    """word, uses (in all documents), c0.. (in the training documents of each component), in partial sums."""
+    """word, component (of a training document; -1 for the others), n, in partial sums."""
     component = F.coalesce(F.array_position(F.array(*map(F.lit, languages)), docs["lang"]) - 1, F.lit(-1)) if languages else F.lit(-1)
     component = F.when(component >= 0, component).otherwise(n - 1)
     train = F.coalesce(fold(docs["doc_id"], cfg.folds) != 1, F.lit(False))
     rows = docs.select(docs["text"].alias("text"), F.when(train, component).otherwise(-1).cast("int").alias("component"))
-    names = ["word", "uses", *[f"c{k}" for k in range(n)]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: list[Counter] = [Counter() for _ in range(n + 1)]
+        by: dict[int, Counter] = {k: Counter() for k in range(-1, n)}
 
-        def flush() -> pa.RecordBatch:
-            words = list(set().union(*by))
-            counts = [np.fromiter(map(c.__getitem__, words), np.int64, len(words)) for c in by]
-            for c in by:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(x) for x in (sum(counts), *counts[:-1]))], names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, found in by.items():
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(np.full(len(found), k, np.int32)), pa.array(found.values(), pa.int64())], ["word", "component", "n"])
+                    found.clear()
 
         for batch in batches:
             for text, k in zip(batch.column("text"), batch.column("component").to_pylist(), strict=True):
                 by[k].update(tokens(text.as_py()))
-                if sum(map(len, by)) > 400_000:
-                    yield flush()
-        yield flush()
+                if sum(map(len, by.values())) > 400_000:
+                    yield from flush()
+        yield from flush()
 
-    return rows.mapInArrow(work, "word binary, uses long, " + ", ".join(f"c{k} long" for k in range(n)))
+    return rows.mapInArrow(work, "word binary, component int, n long")
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One for each Python worker, kept from task to task."""
+    return Pieces(path)
 
 
 def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: LatticeConfig) -> np.ndarray:
@@ -232,7 +237,7 @@ def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: Lattice
         current = log_weight
 
         def work(batches: Iterator[pa.RecordBatch], current: np.ndarray = current) -> Iterator[pa.RecordBatch]:
-            own = Pieces(path)
+            own = pieces_of(path)
             expected = np.zeros((own.size, n))
             for batch in gathered(batches):
                 counts = np.stack([batch.column(c).to_numpy() for c in cs], axis=1).astype(float)
@@ -261,7 +266,8 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
         d.append(d_all - sum(d))
     n_comp = len(d)
     cs = [f"c{k}" for k in range(n_comp)]
-    counted = count_words(docs, languages, n_comp, cfg).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", *cs)])
+    of = lambda k: F.sum(F.when(F.col("component") == k, F.col("n")).otherwise(0))
+    counted = count_words(docs, languages, n_comp, cfg).groupBy("word").agg(F.sum("n").alias("uses"), *[of(k).alias(c) for k, c in enumerate(cs)])
     vocab = durable(counted.withColumn("c", sum((F.col(c) for c in cs[1:]), F.col(cs[0]))), "words")
     total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
     totals = vocab.agg(*[total(c, c) for c in cs], *[total((F.col(c) == 1).cast("long"), f"once_{c}") for c in cs], total((F.col("c") > 0).cast("long"), "v")).first()
@@ -273,7 +279,7 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
     path, ws = cfg.vocabulary, [f"w{k}" for k in range(n_comp)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(path)
+        own = pieces_of(path)
         for batch in gathered(batches):
             found = own.score([w.as_py() for w in batch.column("word")], weights) / LN10
             yield pa.RecordBatch.from_arrays([*(batch.column(c).combine_chunks() for c in ("word", "uses", "c", *cs)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_comp))], ["word", "uses", "c", *cs, *ws])
