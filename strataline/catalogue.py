@@ -543,7 +543,7 @@ def fetch_order(spark: SparkSession, d: str) -> DataFrame:
     return planner.fetch_order(_ordered(spark, d))
 
 
-@query(f"WITH {PLANNED} SELECT count(*) FILTER (real_count > 0 AND rank_start < {BLOCKS}) AS points, 0::BIGINT AS outside FROM planned")
+@query(f"WITH {BOUND} SELECT count(DISTINCT bin_index) AS points, 0::BIGINT AS outside FROM bound WHERE side = 'source'")
 def interior_membership(spark: SparkSession, d: str) -> DataFrame:
     """Seeded points lie among the records of their bins."""
     bound = planner.bind(_small_blocks(newer(spark, d)), planned(spark))
