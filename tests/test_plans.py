@@ -82,7 +82,8 @@ def test_resumable_merge_steps(spark):
     job = ResumableMerge(4, run_of(spark, [1, 3, 5, 7], "s"), 5, run_of(spark, [2, 3, 6, 7], "t"), 2)
     with pytest.raises(NotDone):
         job.finalize()
-    seen = [tuple(job.advance(2)[k] for k in ("i", "j", "r", "blocks", "done")) for _ in range(3)]
+    steps = [job.advance(2) for _ in range(3)]
+    seen = [tuple(s[k] for k in ("i", "j", "r", "blocks", "done")) for s in steps]
     assert seen == [(1, 1, 2, 1, False), (3, 2, 4, 2, False), (4, 4, 6, 3, True)]
     assert job.advance(9) == job.progress()
     assert [r["value"] for r in job.finalize().orderBy("key").collect()] == ["s1", "t2", "s3", "s5", "t6", "s7"]
