@@ -136,9 +136,10 @@ class TokenBytes(dict):
         for chunks in split:
             if chunks:
                 fresh.update(chunks)
-        # should learning empty the table, what was known is learnt again
-        if len(self) + len(fresh) > self.LIMIT:
+        if len(self) + len(fresh) > self.LIMIT:  # what is at hand stays, the rest goes
+            kept = {c: self[c] for c in fresh & self.keys()}
             self.clear()
+            self.update(kept)
         self.learn([c for c in fresh - self.keys() if len(c) <= 64])
         return [self.encode(t) if chunks is None else b"".join(map(self.__getitem__, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
@@ -226,7 +227,7 @@ def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_bytes(cfg.tokenizer)
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, max(1, b.num_rows), 1024)):
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, max(1, b.num_rows), 2048)):
             at, out = [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for k, found in enumerate(encoder.of(texts)):
