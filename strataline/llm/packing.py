@@ -25,7 +25,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from unicodedata import is_normalized
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +44,25 @@ class PackConfig:
     max_buckets: int = 4096
 
 
-class TokenBytes(dict):
-    """white-space-free chunk -> its ids as little-endian 32-bit numbers.
+class TokenBytes:
+    """Ids of texts as little-endian 32-bit numbers, by a table of white-space-free chunks.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its chunks in a row.
+    text are those of its chunks in a row.  It puts text into composed form and
+    lower case first; chunks of ``PLAIN`` characters are put into lower case
+    here, text by text, so that all forms of a word are one entry.
     """
 
     LIMIT = 600_000
+    LONGEST = 64  # longer chunks aren't kept
+    # in composed form in any order, and lower case is one character by character; no part of a special token
+    PLAIN = "\x00-\x1b\x20-{\x7d-\u012f\u0131-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+    OTHER = re.compile(f"[^{PLAIN}]")
     # str.split() also splits here, where the tokenizer sees no white space
     ODD = re.compile("[\x1c-\x1f]")
-    # letters whose lower case is no single letter, or depends on where they stand
-    CASES = re.compile("[\u03a3\u0130]")
 
     def __init__(self, path: str):
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -74,44 +78,27 @@ class TokenBytes(dict):
     def encode(self, text: str) -> bytes:
         return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.encode(chunk)  # one too long to keep
+    def learn(self, plain: set[str], others: set[str]) -> None:
+        """Encodes chunks that are new, in two calls: those in lower case and of plain characters, and others.
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that are new, all in one call.
-
-        A word and the mark that ends it are pieces of their own, and letters
-        are put into lower case, so these forms of a word share its ids.
+        Letters and the marks after them are pieces of their own.
         """
-        parts, letters, others = [], set(), set()
-        for c in chunks:
-            if c.isascii() and c.isalpha():
-                low = c.lower()
-                letters.add(low)
-                if low != c:
-                    parts.append((c, low, ""))
-                continue
-            body, mark = (c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else (c, "")
-            low = body.lower()
-            if low.isalpha() and (body.isascii() or (body.isalpha() and is_normalized("NFC", body) and not self.CASES.search(body))):
-                letters.add(low)
-                body = low
-            elif mark and low.isalpha():
-                others.add(body)
-            else:  # a mark may join a lower case that ends in no letter
-                body, mark = c, ""
-                others.add(c)
-            if mark:
-                others.add(mark)
-            if mark or body != c:
-                parts.append((c, body, mark))
-        known = self.keys()
-        self.spell(list(letters - known))
-        fresh = list(others - known)
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self[word] = self.bytes_of(found.ids)
-        for chunk, body, mark in parts:
-            self[chunk] = self[body] + self[mark] if mark else self[body]
+        words = {c for c in plain if c.isalpha()}
+        parts, whole = [], set(others)
+        for c in plain:
+            if c not in words:
+                body = c.rstrip(punctuation) if len(c) <= self.LONGEST else ""
+                if body.isalpha():
+                    parts.append((c, body, c[len(body) :]))
+                    words.add(body)
+                    whole.add(c[len(body) :])
+                else:
+                    whole.add(c)
+        self.spell(list(words.difference(self.known)))
+        fresh = list(whole.difference(self.known))
+        for chunk, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[chunk] = self.bytes_of(found.ids)
+        self.known.update([(c, self.known[body] + self.known[marks]) for c, body, marks in parts])
 
     def spell(self, words: list[str]) -> None:
         """Ids of words of lower-case letters, many in one text; the last token of each is marked as one."""
@@ -121,7 +108,7 @@ class TokenBytes(dict):
             raw, ends = self.bytes_of(found), (4 * (1 + np.flatnonzero(self.last[found]))).tolist()
             if len(ends) != len(part):
                 raise ValueError("a word is not one piece")
-            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     @staticmethod
     def bytes_of(ids: list[int]) -> bytes:
@@ -130,18 +117,36 @@ class TokenBytes(dict):
             found.byteswap()
         return found.tobytes()
 
+    def chunks(self, text: str, plain: set[str], others: set[str]) -> list[str] | None:
+        """The chunks of a text, also put into the two sets; None for a text that has to stay whole."""
+        if not self.OTHER.search(text):
+            found = text.lower().split()
+            plain.update(found)
+            return found
+        if self.ODD.search(text):
+            return None
+        found = []
+        for c in text.split():
+            if self.OTHER.search(c):
+                others.add(c)
+            else:
+                c = c.lower()
+                plain.add(c)
+            found.append(c)
+        return found
+
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
-        fresh: set[str] = set()
-        for chunks in split:
-            if chunks:
-                fresh.update(chunks)
-        if len(self) + len(fresh) > self.LIMIT:  # what is at hand stays, the rest goes
-            kept = {c: self[c] for c in fresh & self.keys()}
-            self.clear()
-            self.update(kept)
-        self.learn([c for c in fresh - self.keys() if len(c) <= 64])
-        return [self.encode(t) if chunks is None else b"".join(map(self.__getitem__, chunks)) for t, chunks in zip(texts, split, strict=True)]
+        plain: set[str] = set()
+        others: set[str] = set()
+        split = [self.chunks(t, plain, others) for t in texts]
+        if len(self.known) + len(plain) + len(others) > self.LIMIT:  # what is at hand stays, the rest goes
+            self.known = {c: self.known[c] for s in (plain, others) for c in s if c in self.known}
+        fresh = [s.difference(self.known) for s in (plain, others)]
+        self.learn(*fresh)
+        out = [self.encode(t) if chunks is None else b"".join(map(self.known.__getitem__, chunks)) for t, chunks in zip(texts, split, strict=True)]
+        for c in [c for s in fresh for c in s if len(c) > self.LONGEST]:
+            del self.known[c]
+        return out
 
 
 @lru_cache(maxsize=2)
