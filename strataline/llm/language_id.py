@@ -108,10 +108,11 @@ def train(rows: list[tuple[str, str]], cfg: LanguageConfig) -> LanguageModel | N
     """Fit on (text, label) rows; None if there is nothing to fit."""
     rng = np.random.default_rng(cfg.seed)
     labels = sorted({y for _, y in rows})
-    data = []
+    data, small = [], np.min_scalar_type(cfg.buckets - 1)  # the grams of all texts are held at once
     for text, y in rows:
         if found := list(grams(text, cfg)):
-            data.append((np.concatenate(found), labels.index(y)))
+            data.append((np.concatenate(found, dtype=small, casting="unsafe"), labels.index(y)))
+    del rows  # the texts
     if not data:
         return None
     order = rng.permutation(len(data))

@@ -127,6 +127,7 @@ def train(rows: list[tuple[str, int]], cfg: QualityConfig) -> FactorisationMachi
         return FactorisationMachine(0.0, w, np.zeros_like(v))
     seen = Buckets(cfg.buckets)
     data = [(*features(t, seen), y) for t, y in rows]
+    del rows, seen  # the texts and their words
     ones = sum(y for *_, y in data)
     w0 = float(np.log((ones + 0.5) / (len(data) - ones + 0.5)))
     g0, gw, gv = 1e-6, np.full(size, 1e-6), np.full((size, cfg.rank), 1e-6)
