@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: batches of texts for Python; the engine's own bound is 64 MB, which each side holds several times over
+BATCH_BYTES = 8 << 20
+
 _owned: list[tuple[SparkSession, str]] = []
 
 
@@ -38,6 +43,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow on batches of about ``BATCH_BYTES``, or of what the session has been set to."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if rows.sparkSession.conf.get(key, None) is None:
+        rows.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(work, schema)
+
+
 @atexit.register
 def _drop_stages() -> None:
     for spark, path in _owned:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import fields
+from strataline.llm.common import fields, in_batches
 
 LEAST = -(1 << 63)
 EMPTY = 0xFFFF
@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig | None = None) -> DataF
             found = [encode(r) for r in _sketch_all(texts, cfg)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(found, pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, n_chars long, fingerprint string")
+    return in_batches(rows, work, f"doc_id {id_type}, n_chars long, fingerprint string")
 
 
 def in_order(docs: DataFrame, per_partition: int = 4) -> tuple[DataFrame, int]:
@@ -179,7 +179,7 @@ def in_order(docs: DataFrame, per_partition: int = 4) -> tuple[DataFrame, int]:
                 k = batch.column("key").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, k.astype(np.float64), "right").astype(np.int32)), batch.column("key")], ["bucket", "key"])
 
-        ends = ids.mapInArrow(place, "bucket int, key long").groupBy("bucket").agg(F.max("key").alias("key"))
+        ends = in_batches(ids, place, "bucket int, key long").groupBy("bucket").agg(F.max("key").alias("key"))
     else:
         ends = ids.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.max("key").alias("key"))
     ends = sorted((r["bucket"], r["key"]) for r in ends.collect())  # one row for each range
@@ -197,7 +197,7 @@ def in_order(docs: DataFrame, per_partition: int = 4) -> tuple[DataFrame, int]:
             flags = pa.array([True] * len(keys) + [False] * len(lead))
             yield pa.RecordBatch.from_arrays([pa.array(to), flags, *(batch.column(c).take(pick) for c in ("key", "doc_id", "text"))], ["bucket", "own", "key", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, f"bucket int, own boolean, key long, doc_id {id_type}, text string")
+    dealt = in_batches(rows, deal, f"bucket int, own boolean, key long, doc_id {id_type}, text string")
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "own", "key", "text"), n
 
 
@@ -244,4 +244,4 @@ def compare_with_next(docs: DataFrame, cfg: FingerprintConfig | None = None) ->
                     names,
                 )
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_batches(rows, work, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import fields, fold, held_out, unit_hash
+from strataline.llm.common import fields, fold, held_out, in_batches, unit_hash
 
 UNDETERMINED = "und"
 
@@ -197,5 +197,5 @@ def identify(docs: DataFrame, cfg: LanguageConfig | None = None, keep: tuple[str
             yield pa.RecordBatch.from_arrays(cols, [*[n for n, _ in names], "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", lang_pred string, score double, rejected boolean"
-    out = rows.mapInArrow(work, schema)
+    out = in_batches(rows, work, schema)
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", *[c for c in keep if c != "doc_id"])

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import durable, fold, held_out
+from strataline.llm.common import durable, fold, held_out, in_batches
 
 LN10 = math.log(10)
 
@@ -219,7 +219,7 @@ def count_words(docs: DataFrame, languages: list[str], n: int, cfg: LatticeConfi
                     yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(work, "word binary, component int, n long")
+    return in_batches(rows, work, "word binary, component int, n long")
 
 
 @lru_cache(maxsize=2)
@@ -245,7 +245,7 @@ def _train_weights(vocab: DataFrame, pieces: Pieces, cs: list[str], cfg: Lattice
             at = np.flatnonzero(expected.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(expected[at, k])) for k in range(n))], names)
 
-        seen = vocab.where("c > 0").select("word", *cs).mapInArrow(work, "piece int, " + ", ".join(f"{x} double" for x in names[1:]))
+        seen = in_batches(vocab.where("c > 0").select("word", *cs), work, "piece int, " + ", ".join(f"{x} double" for x in names[1:]))
         expected = np.zeros((pieces.size, n))
         for r in seen.groupBy("piece").agg(*[F.sum(x).alias(x) for x in names[1:]]).collect():  # at most one row for each piece
             expected[r["piece"]] = r[1:]
@@ -284,7 +284,7 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
             found = own.score([w.as_py() for w in batch.column("word")], weights) / LN10
             yield pa.RecordBatch.from_arrays([*(batch.column(c).combine_chunks() for c in ("word", "uses", "c", *cs)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_comp))], ["word", "uses", "c", *cs, *ws])
 
-    weighed = vocab.select("word", "uses", "c", *cs).mapInArrow(weigh, "word binary, uses long, c long, " + ", ".join(f"{c} long" for c in cs) + ", " + ", ".join(f"{w} double" for w in ws))
+    weighed = in_batches(vocab.select("word", "uses", "c", *cs), weigh, "word binary, uses long, c long, " + ", ".join(f"{c} long" for c in cs) + ", " + ", ".join(f"{w} double" for w in ws))
 
     def component(k: int) -> Column:
         """log10 P_k; by logs where the word is unseen, as the pieces' share may be too small for a double."""
@@ -332,7 +332,7 @@ def score(docs: DataFrame, cfg: LatticeConfig) -> DataFrame:
             )
 
     schema = f"doc_id {id_type}, held_out boolean, row long, n_tokens long, " + ", ".join(f"{c} double" for c in sums) + ", rest_words array<binary>, rest_counts array<int>"
-    scored = durable(rows.mapInArrow(first_pass, schema), "scored")
+    scored = durable(in_batches(rows, first_pass, schema), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest_words", "rest_counts")).alias("r")).select("row", F.col("r.rest_words").alias("word"), F.col("r.rest_counts").alias("tf"))
     tail = rest.join(model, "word").groupBy("row").agg(*[F.sum(F.col("tf") * F.col(c)).alias(f"t_{c}") for c in sums])
     joined = scored.select("doc_id", "held_out", "row", "n_tokens", *sums).join(tail, "row", "left")

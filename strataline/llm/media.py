@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataline.llm.common import fields
+from strataline.llm.common import fields, in_batches
 
 # Element ids of the Matroska specification (RFC 9559)
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -316,7 +316,7 @@ def store(docs: DataFrame, cfg: MediaConfig | None = None) -> DataFrame:
                 media = [mux(padded(r, cfg.align), cfg) for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, n_bytes long, media binary")
+    return in_batches(rows, work, f"doc_id {id_type}, n_bytes long, media binary")
 
 
 def read(stored: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def read(stored: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_batches(rows, work, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def packets(stored: DataFrame) -> DataFrame:
@@ -357,4 +357,4 @@ def packets(stored: DataFrame) -> DataFrame:
                 cols += [pa.array([p[k] for p in found], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, track int, timestamp_ns long, cluster int, block int, offset long, size long, key boolean, lacing int")
+    return in_batches(rows, work, f"doc_id {id_type}, track int, timestamp_ns long, cluster int, block int, offset long, size long, key boolean, lacing int")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import durable
+from strataline.llm.common import durable, in_batches
 
 U = np.uint64
 
@@ -171,7 +171,7 @@ def sign(docs: DataFrame, cfg: NearConfig) -> DataFrame:
                     ["id", "node", "row", "bands", "registers"],
                 )
 
-    return rows.mapInArrow(work, f"id {id_type}, node binary, row long, bands array<long>, registers binary")
+    return in_batches(rows, work, f"id {id_type}, node binary, row long, bands array<long>, registers binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return both.mapInArrow(work, "a binary, b binary")
+    return in_batches(both, work, "a binary, b binary")
 
 
 def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> list[tuple[bytes, bytes]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import durable, fields
+from strataline.llm.common import durable, fields, in_batches
 
 
 @dataclass(frozen=True)
@@ -248,7 +248,7 @@ def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return in_batches(rows, work, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, cfg: PackConfig) -> DataFrame:
@@ -283,4 +283,4 @@ def pack(docs: DataFrame, cfg: PackConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     id_type = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(work, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked, work, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import fields, fold, held_out, unit_hash
+from strataline.llm.common import fields, fold, held_out, in_batches, unit_hash
 
 
 @dataclass(frozen=True)
@@ -183,5 +183,5 @@ def assess(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None,
             yield pa.RecordBatch.from_arrays(cols, [*[n for n, _ in names], "score", "predicted"])
 
     schema = ", ".join(f"`{n}` {rows.schema[m].dataType.simpleString()}" for n, m in names) + ", score double, predicted int"
-    out = rows.mapInArrow(work, schema)
+    out = in_batches(rows, work, schema)
     return out.select("doc_id", "held_out", "score", "predicted", *[c for c in keep if c != "doc_id"])

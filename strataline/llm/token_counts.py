@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strataline.llm.common import fields
+from strataline.llm.common import fields, in_batches
 
 # The published split pattern of the byte-level vocabulary, and Unicode's white space
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -266,4 +266,4 @@ def count_tokens(docs: DataFrame, cfg: CountConfig) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
 
-    return rows.mapInArrow(work, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
+    return in_batches(rows, work, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
