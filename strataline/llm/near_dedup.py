@@ -9,9 +9,11 @@ with their probability Jaccard similarity
 
     J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d),
 
-which is the Jaccard similarity where all weights are one.  Texts that share a
-band of registers are candidates, and two are linked if J_P or the Jaccard
-similarity of their shingle sets, both computed exactly, is 0.8 or more.
+which is the Jaccard similarity where all weights are one.  A text has a second
+signature with every weight one, whose registers agree with the Jaccard
+similarity of the shingle sets; without repeats it is the first one.  Texts that
+share a band of either signature are candidates, and two are linked if J_P or the
+Jaccard similarity of their shingle sets, both computed exactly, is 0.8 or more.
 Classes are the connected components of the links.
 
 Nothing pairs all members of a bucket.  Equal texts are one node.  Each bucket
@@ -117,6 +119,15 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], cfg: NearConfig) -> np
     return first.reshape(len(sets), m)
 
 
+def both_signatures(sets: list[tuple[np.ndarray, np.ndarray]], cfg: NearConfig) -> np.ndarray:
+    """The signature of the weighted set, then the one with every weight one."""
+    weighted = signatures(sets, cfg)
+    plain, often = weighted.copy(), [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+    if often:
+        plain[often] = signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in often], cfg)
+    return np.stack([weighted, plain], 1)
+
+
 def band_keys(signature: np.ndarray, cfg: NearConfig) -> np.ndarray:
     out = np.tile(_mix(np.arange(1, cfg.bands + 1).astype(U)), (len(signature), 1))
     parts = signature.reshape(len(signature), cfg.bands, cfg.rows)
@@ -148,7 +159,7 @@ def _node(text: Column) -> Column:
 
 
 def sign(docs: DataFrame, cfg: NearConfig) -> DataFrame:
-    """id, node, row, bands, registers (their low bytes)."""
+    """id, node, row, bands, registers (their low bytes), of both signatures one after the other."""
     rows = docs.select(F.struct(docs["doc_id"]).alias("id"), _node(docs["text"]).alias("node"), F.monotonically_increasing_id().alias("row"), docs["text"].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -158,8 +169,8 @@ def sign(docs: DataFrame, cfg: NearConfig) -> DataFrame:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
                 sets = [shingles(t.as_py(), cfg, seen) for t in batch.column("text")]
-                found = signatures(sets, cfg)
-                keys = band_keys(found, cfg)
+                found = both_signatures(sets, cfg)
+                keys = np.concatenate([band_keys(found[:, s], cfg) for s in range(2)], 1)
                 low = found.astype(np.uint8)
                 some = [len(h) > 0 for h, _ in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -227,7 +238,7 @@ def verify(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
 def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> list[tuple[bytes, bytes]]:
     """Links between two blocks, at most one for each outer node and inner component.
 
-    Only pairs that share a band are candidates.  An inner component that an
+    Only pairs that share a band are candidates, and either signature may agree.  An inner component that an
     outer node is linked to already needs no further test.
     """
     seen, sets = Words(), {}
@@ -237,7 +248,7 @@ def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> li
             sets[node] = shingles(text, cfg, seen)
         return sets[node]
 
-    registers = np.frombuffer(b"".join(inner["registers"]), np.uint8).reshape(len(inner), -1)
+    registers = np.frombuffer(b"".join(inner["registers"]), np.uint8).reshape(len(inner), 2, -1)
     bands = np.stack([np.asarray(b) for b in inner["bands"]])
     roots = inner["root"].map(bytes).to_numpy()
     codes, _ = pd.factorize(roots)
@@ -245,7 +256,7 @@ def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> li
     found = []
     for node, root, text, reg, band in zip(outer["node"], outer["root"], outer["text"], outer["registers"], outer["bands"], strict=True):
         node, done = bytes(node), set()
-        agree = (registers == np.frombuffer(reg, np.uint8)).mean(1)
+        agree = (registers == np.frombuffer(reg, np.uint8).reshape(2, -1)).mean(2).max(1)
         near = np.flatnonzero((roots != bytes(root)) & (agree >= cfg.similarity - cfg.slack))
         near = near[(bands[near] == np.asarray(band)).any(1)]
         for k in near[np.argsort(-agree[near], kind="stable")]:
@@ -289,7 +300,7 @@ def classes(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     signed = durable(sign(docs, cfg), "signed")
     one = signed.groupBy("node").agg(F.min("row").alias("row"))
     nodes = durable(signed.join(one.select("row"), "row").select("id", "node", "bands", "registers"), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     crowded = durable(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = durable(banded.join(crowded, "bucket"), "members")
     central = durable(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")

@@ -146,6 +146,24 @@ def test_probability_jaccard_and_signatures():
     assert abs(np.mean(off)) < 0.02
 
 
+def test_near_duplicates_with_differing_repeats(spark):
+    rng, texts = random.Random(6), []
+    for _ in range(12):  # equal shingle sets (up to the seams), J_P about 0.2
+        base = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        part = [f"r{rng.randrange(10**9)}" for _ in range(24)]
+        texts += [" ".join(base + part), " ".join(base + part * 50)]
+    cfg, seen = near_dedup.NearConfig(), near_dedup.Words()
+    plain, weighted = near_dedup.similarities(*(near_dedup.shingles(t, cfg, seen) for t in texts[:2]))
+    assert plain > 0.9 and weighted < 0.3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {i: i // 2 * 2 for i in range(len(texts))}
+    # the block step: with two nodes as two components, the plain signature lets the pair pass
+    signed = near_dedup.sign(docs.limit(2), cfg).join(docs, near_dedup.F.col("id.doc_id") == docs["doc_id"]).toPandas()
+    signed["root"] = signed["node"]
+    assert len(near_dedup.block_links(signed[:1], signed[1:], cfg)) == 1
+
+
 def test_packing_is_gapless_and_exact(spark, odd):
     cfg = queries.pack_config()
     library = Tokenizer.from_file(cfg.tokenizer)
