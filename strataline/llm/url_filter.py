@@ -4,7 +4,9 @@ Edges join hosts: absolute links in the pages, and a host with its parent
 domain, both ways.  Trust is a personalised PageRank from the hosts whose pages
 the rules allow; distrust is one from the hosts whose pages the rules block,
 over the reversed links (who links to bad hosts is suspect).  A page that no
-rule fits is blocked where the distrust of its host exceeds its trust.
+rule fits is blocked where the distrust of its host exceeds its trust.  Rounds go
+on until no further host is reached and both ranks are within ``tolerance`` of
+the settled ones, summed over all hosts.
 
 Everything runs as DataFrame functions, on edges and hosts, never on pairs of
 pages.  Defined cases: a null url, or one without ``://``, has an empty host and
@@ -14,6 +16,7 @@ allowed; null html has no links; a host's links to itself are left out.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +39,17 @@ class UrlConfig:
         ("block", "com", "/de/"),
     )
     damping: float = 0.85
-    rounds: int = 8
+    tolerance: float = 1e-9
     durable_every: int = 4
+    #: up to so many bytes of edges and seeds, rounds are one task's work and need no shuffle
+    task_bytes: int = 8 << 20
     distrust_weight: float = 1.0
 
+    @property
+    def rounds(self) -> int:
+        """Rounds after which damping alone has brought any rank within the tolerance."""
+        return math.ceil(math.log(self.tolerance / 2) / math.log(self.damping))
+
 
 def split_url(url: Column) -> tuple[Column, Column]:
     rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.regexp_replace(url, r"^(?s).*?://", "\x01"), "\x01", -1))
@@ -81,6 +91,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
+def _change(before: DataFrame, now: DataFrame) -> tuple[float, int]:
+    """How far the rank of a kind has moved at most (L1), and how many hosts were reached since."""
+    both = now.select("kind", "host", "mass", F.lit(1).alias("n")).unionByName(before.select("kind", "host", (-F.col("mass")).alias("mass"), F.lit(-1).alias("n")))
+    by_host = both.groupBy("kind", "host").agg(F.sum("mass").alias("moved"), F.sum("n").alias("new"))
+    by_kind = by_host.groupBy("kind").agg(F.sum(F.abs("moved")).alias("moved"), F.sum("new").alias("new"))
+    return by_kind.agg(F.coalesce(F.max("moved"), F.lit(0.0)), F.coalesce(F.sum("new"), F.lit(0))).first()
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, cfg: UrlConfig) -> DataFrame:
     """host, trust, distrust.  seeds: host, trust, distrust, each summing to one at most."""
     forward = edges.select(F.lit("trust").alias("kind"), "source", "target", "weight")
@@ -91,12 +109,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, cfg: UrlConfig) -> DataFrame:
     steps = durable(shared.select("kind", "source", "target", (F.col("weight") / F.col("total")).alias("share")), "url-steps")
     start = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("mass"))))
     seed = durable(seeds.select("host", start.alias("s")).select("s.kind", "host", "s.mass").where("mass > 0"), "url-seeds")
-    rank = seed
-    for i in range(1, cfg.rounds + 1):
-        moved = rank.alias("r").join(steps.alias("e"), F.expr("r.kind = e.kind AND r.host = e.source")).select("e.kind", F.col("target").alias("host"), (F.col("mass") * F.col("share") * cfg.damping).alias("mass"))
-        rank = moved.unionByName(seed.select("kind", "host", (F.col("mass") * (1 - cfg.damping)).alias("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % cfg.durable_every == 0:
-            rank = durable(rank, "url-rank")
+    width = lambda df, *hosts: df.agg(F.coalesce(F.sum(sum((F.octet_length(h) for h in hosts), F.lit(64))), F.lit(0))).first()[0]
+    small = width(steps, "source", "target") + width(seed, "host") <= cfg.task_bytes
+    links = F.broadcast(steps) if small else steps
+    rank, every = seed, cfg.durable_every * (4 if small else 1)
+    shrunk = cfg.damping**every
+    while True:
+        before = rank
+        for _ in range(every):
+            moved = rank.alias("r").join(links.alias("e"), F.expr("r.kind = e.kind AND r.host = e.source")).select("e.kind", F.col("target").alias("host"), (F.col("mass") * F.col("share") * cfg.damping).alias("mass"))
+            rank = moved.unionByName(seed.select("kind", "host", (F.col("mass") * (1 - cfg.damping)).alias("mass")))
+            rank = (rank.coalesce(1) if small else rank).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        rank = durable(rank, "url-rank")
+        change, reached = _change(before, rank)
+        if not reached and change * shrunk / (1 - shrunk) <= cfg.tolerance:
+            break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 

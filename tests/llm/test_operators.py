@@ -309,6 +309,31 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("task_bytes", [8 << 20, 0])
+def test_url_ranks_are_settled(spark, task_bytes):
+    rng, cfg = random.Random(5), url_filter.UrlConfig(task_bytes=task_bytes)
+    link = lambda a, b: (0, f"http://{a}/", f'<a href="http://{b}/">')
+    rows = [link(f"c{i}.net", f"c{i + 1}.net") for i in range(20)] + [(0, "http://c20.net/", '<a href="http://bad.com/">'), (0, "http://bad.com/de/", "")]
+    rows += [link(f"h{rng.randrange(40)}.net", rng.choice(["bad.com", "good.com", *(f"h{i}.net" for i in range(40))])) for _ in range(90)]
+    rows += [(0, "http://good.com/fr/", '<a href="http://h1.net/">')]
+    pages = spark.createDataFrame([(i, u, h) for i, (_, u, h) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r["host"]: r for r in url_filter.filter_urls(pages, cfg).collect() if not r["rule"]}
+    edges = url_filter.host_edges(pages).collect()
+    hosts = sorted({h for e in edges for h in (e["source"], e["target"])})
+    at = {h: i for i, h in enumerate(hosts)}
+    for kind, start in (("trust", "good.com"), ("distrust", "bad.com")):
+        step, seed = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+        for e in edges:
+            a, b = (e["source"], e["target"])[:: 1 if kind == "trust" else -1]
+            step[at[b], at[a]] = e["weight"]
+        step /= np.maximum(step.sum(0), 1)
+        seed[at[start]] = 1
+        want = np.linalg.solve(np.eye(len(hosts)) - cfg.damping * step, (1 - cfg.damping) * seed)
+        assert all(r[kind] == pytest.approx(want[at[h]], abs=cfg.tolerance) for h, r in found.items())
+        assert all((r[kind] > 0) == (want[at[h]] > 1e-30) for h, r in found.items())
+    assert all(found[f"c{i}.net"]["verdict"] == "block" for i in range(21))
+
+
 def test_matroska_round_trip_and_lacing(spark, odd):
     rng, cfg = random.Random(3), media.MediaConfig()
     for n in (64, 1024, 1088, 8256, 40_000 * 8):
