@@ -552,6 +552,46 @@ def interior_membership(spark: SparkSession, d: str) -> DataFrame:
     return inside.agg(F.count("*").alias("points"), F.count_if(F.col("inside").isNull()).alias("outside"))
 
 
+WHOLE = planner.PlanConfig(seed=3)
+
+
+def _whole(run: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All records of the run with their bins, and the bins, as many as the planner allocates to its blocks."""
+    packed = runs.packed(runs.ranked(run), 4)
+    blocks = packed.agg(F.coalesce(F.max("block_rank") + 1, F.lit(0))).first()[0]
+    plan = planner.bins(run.sparkSession, planner.allocate(blocks, WHOLE))
+    return planner.bind(packed, plan), plan
+
+
+def _ordered_all(spark: SparkSession, d: str) -> DataFrame:
+    parts = [planner.interior_points(*_whole(run), side, WHOLE) for side, run in (("source", newer(spark, d)), ("target", older(spark, d)))]
+    return planner.tag_order(parts[0].unionByName(parts[1]))
+
+
+@query()
+def bin_bind_all(spark: SparkSession, d: str) -> DataFrame:
+    """bin_bind takes the first blocks only, as its SQL does; this and the next three cover their runs."""
+    return _whole(newer(spark, d))[0].select("key", "block_rank", "bin_index")
+
+
+@query()
+def tag_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ordered_all(spark, d)
+
+
+@query()
+def fetch_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return planner.fetch_order(_ordered_all(spark, d))
+
+
+@query()
+def interior_membership_all(spark: SparkSession, d: str) -> DataFrame:
+    bound, plan = _whole(newer(spark, d))
+    points = planner.interior_points(bound, plan, "source", WHOLE).where("NOT is_dummy")
+    inside = points.join(bound.select("bin_index", "key", F.lit(1).alias("inside")), ["bin_index", "key"], "left")
+    return inside.agg(F.count("*").alias("points"), F.count_if(F.col("inside").isNull()).alias("outside"))
+
+
 @query("SELECT unnest([1, 8, 21, 64, 100, 200])::BIGINT AS blocks, 0::BIGINT AS violations")
 def noisy_prefix_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Noisy sums start at 0, never fall, and stay within the capacity of the true sums."""

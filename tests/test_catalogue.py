@@ -41,6 +41,33 @@ def test_validators_find_the_planted_faults(spark, small):
         assert not catalogue.queries()[name](spark, small).isEmpty()
 
 
+def test_whole_runs_are_bound_and_ordered(spark):
+    d, q = "/root/testdata/sf0.01", catalogue.queries()
+    bins = {}
+    for side, run in (("source", catalogue.newer), ("target", catalogue.older)):
+        keys = sorted(r["key"] for r in run(spark, d).select("key").collect())
+        loads = catalogue.planner.allocate(-(-len(keys) // 4), catalogue.WHOLE).loads
+        of_block = [i for i, x in enumerate(loads) for _ in range(x)]
+        bins[side] = {i: [] for i in range(len(loads))}
+        for i, k in enumerate(keys):
+            bins[side][of_block[i // 4]].append(k)
+    bound = {r["key"]: r["bin_index"] for r in q["bin_bind_all"](spark, d).collect()}
+    assert len(bound) > 4 * catalogue.BLOCKS
+    assert bound == {k: b for b, ks in bins["source"].items() for k in ks}
+    rows = sorted(q["tag_order_all"](spark, d).collect(), key=lambda r: r["position"])
+    assert {(r["side"], r["bin_index"]) for r in rows} == {(s, b) for s, x in bins.items() for b in x} and len(rows) == sum(map(len, bins.values()))
+    assert all((not bins[r["side"]][r["bin_index"]]) if r["is_dummy"] else bins[r["side"]][r["bin_index"]][r["record_index"]] == r["key"] for r in rows)
+    order = [(r["is_dummy"], r["key"] or 0, r["signed_tag"]) for r in rows]
+    assert order == sorted(order)
+    want, nth = [("source", 0), ("target", 0)], {"source": 0, "target": 0}
+    for r in rows:
+        nth[r["side"]] += 1
+        if nth[r["side"]] < len(bins[r["side"]]):
+            want.append((r["side"], nth[r["side"]]))
+    assert [(r["side"], r["bin_index"]) for r in sorted(q["fetch_order_all"](spark, d).collect(), key=lambda r: r["fetch_no"])] == want
+    assert [tuple(r) for r in q["interior_membership_all"](spark, d).collect()] == [(sum(map(bool, bins["source"].values())), 0)]
+
+
 def test_entry_needs_no_corpus_operators():
     import __spark_entry__ as entry
 
