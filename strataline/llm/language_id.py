@@ -4,7 +4,8 @@ A text is the mean of the embeddings of its character n-grams, and a linear
 softmax on that mean gives a probability per language.  Both are trained by
 stochastic gradient descent in numpy on a bounded sample.  Because the model is
 linear in the embeddings, the trained tables fold into one (bucket x language)
-table of logits, and that small table is all the executors need.
+table of logits, and that small table is all the executors need.  With many
+languages the two tables stay apart: there is no bound on their number.
 
 A temperature fitted on a part of the sample that training has not seen
 calibrates the probabilities; on the same part a rejection threshold is set so
@@ -17,6 +18,8 @@ Repeated rows get equal predictions.  With no labelled row every text is ``und``
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,22 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import fields, fold, held_out, in_batches, unit_hash
+from strataline.llm.common import fields, fold, held_out, in_batches, schema_of, text_at, text_of, unit_hash, with_row
 
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``train_rows`` and ``train_chars`` bound the sample that is fitted on the driver."""
+    """The model is fitted on the driver, on at most 1.25 * max(``train_rows``, ``least_rows`` for each language)
+    texts, of each of which at most ``train_grams`` n-grams, drawn from the whole text, are used."""
 
     buckets: int = 1 << 15
     dim: int = 16
     min_n: int = 1
     max_n: int = 4
     train_rows: int = 2000
-    train_chars: int = 20_000
-    max_languages: int = 256
+    least_rows: int = 4
+    train_grams: int = 8000
+    #: up to so many languages, embeddings and softmax are folded into one table of logits
+    folded: int = 64
     epochs: int = 4
     step_grams: int = 1500
     rate: float = 8.0
@@ -49,6 +55,11 @@ class LanguageConfig:
     folds: int = 3
     seed: int = 7
 
+    @property
+    def gram_type(self) -> np.dtype:
+        """The smallest integers that number the buckets: grams of the whole sample are held at once."""
+        return np.min_scalar_type(self.buckets - 1)
+
 
 _ALPHA: list[np.ndarray] = []
 
@@ -92,27 +103,35 @@ def grams(text: str, cfg: LanguageConfig) -> Iterator[np.ndarray]:
 @dataclass(frozen=True)
 class LanguageModel:
     labels: list[str]
-    logits: np.ndarray  # bucket x language
+    table: np.ndarray  # bucket x language logits, or bucket x dimension embeddings where ``out`` is set
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float
     threshold: float
     cfg: LanguageConfig
 
     def probabilities(self, total: np.ndarray, n: float) -> np.ndarray:
-        z = (total / n + self.bias) / self.temperature
+        mean = total / n
+        z = ((mean if self.out is None else mean @ self.out) + self.bias) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
 
-def train(rows: list[tuple[str, str]], cfg: LanguageConfig) -> LanguageModel | None:
-    """Fit on (text, label) rows; None if there is nothing to fit."""
+def drawn_grams(text: str, doc_id: str, cfg: LanguageConfig) -> np.ndarray:
+    """The n-grams of a whole text, or ``train_grams`` of them drawn by a seed of the id."""
+    found = list(grams(text, cfg))
+    ids = np.concatenate(found) if found else np.zeros(0, np.int64)
+    if len(ids) > cfg.train_grams:
+        ids = ids[np.random.default_rng([cfg.seed, zlib.crc32(doc_id.encode("utf-8", "surrogatepass"))]).integers(0, len(ids), cfg.train_grams)]
+    return ids.astype(cfg.gram_type)
+
+
+def train(rows: list[tuple[np.ndarray, str]], cfg: LanguageConfig) -> LanguageModel | None:
+    """Fit on (n-gram buckets, label) rows; None if there is nothing to fit."""
     rng = np.random.default_rng(cfg.seed)
     labels = sorted({y for _, y in rows})
-    data, small = [], np.min_scalar_type(cfg.buckets - 1)  # the grams of all texts are held at once
-    for text, y in rows:
-        if found := list(grams(text, cfg)):
-            data.append((np.concatenate(found, dtype=small, casting="unsafe"), labels.index(y)))
-    del rows  # the texts
+    number = {y: i for i, y in enumerate(labels)}
+    data = [(ids, number[y]) for ids, y in rows if len(ids)]
     if not data:
         return None
     order = rng.permutation(len(data))
@@ -137,8 +156,7 @@ def train(rows: list[tuple[str, str]], cfg: LanguageConfig) -> LanguageModel | N
             bias -= 0.01 * rate * p
             np.subtract.at(emb, ids, (rate / len(ids)) * back)
             done += 1
-    folded = emb @ out
-    zs = np.array([folded[ids].mean(0) + bias for ids, _ in calibration or training])
+    zs = np.array([emb[ids].mean(0) @ out + bias for ids, _ in calibration or training])
     ys = np.array([y for _, y in calibration or training])
 
     def log_p(t: float) -> np.ndarray:
@@ -151,13 +169,15 @@ def train(rows: list[tuple[str, str]], cfg: LanguageConfig) -> LanguageModel | N
     best = np.exp(log_p(temperature))
     right = np.sort(best.max(1)[best.argmax(1) == ys])
     threshold = min(cfg.reject_ceiling, float(np.quantile(right, cfg.reject_rate))) if len(right) else 0.0
-    return LanguageModel(labels, folded.astype(np.float32), bias, float(temperature), threshold, cfg)
+    if len(labels) <= cfg.folded:
+        return LanguageModel(labels, (emb @ out).astype(np.float32), None, bias, float(temperature), threshold, cfg)
+    return LanguageModel(labels, emb.astype(np.float32), out, bias, float(temperature), threshold, cfg)
 
 
 def predict_text(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
-    total, n = np.zeros(len(model.labels)), 0
+    total, n = np.zeros(model.table.shape[1]), 0
     for ids in grams(text or "", model.cfg):
-        total += model.logits[ids].sum(0, dtype=np.float64)
+        total += model.table[ids].sum(0, dtype=np.float64)
         n += len(ids)
     if not n:
         return UNDETERMINED, 0.0, True
@@ -166,36 +186,45 @@ def predict_text(text: str | None, model: LanguageModel) -> tuple[str, float, bo
     return model.labels[k], float(p[k]), bool(p[k] < model.threshold)
 
 
-def sample_labelled(docs: DataFrame, cfg: LanguageConfig) -> list[tuple[str, str]]:
-    """At most ``train_rows`` labelled texts, as evenly from the languages as they allow."""
+def sample_labelled(docs: DataFrame, cfg: LanguageConfig) -> list[tuple[np.ndarray, str]]:
+    """n-grams and labels of a bounded sample of labelled texts, as evenly from the languages as they allow.
+
+    The driver holds one count for each language, and the sample.
+    """
     rows = fields(docs, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.where(fold(rows.doc_id, cfg.folds) != 1).where(F.length("text") <= cfg.train_chars)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(cfg.max_languages).collect()
+    rows = rows.where(fold(rows.doc_id, cfg.folds) != 1)
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
-    share = cfg.train_rows / len(counts)
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
+    share = max(cfg.train_rows / len(counts), cfg.least_rows)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, rate double")
     chance = unit_hash(F.col("doc_id"), f"language{cfg.seed}")
-    picked = rows.withColumn("chance", chance).where(F.col("chance") < rates[F.col("lang")])
-    found = picked.orderBy("chance", "doc_id", "text", "lang").limit(cfg.train_rows + cfg.train_rows // 4).collect()
-    return [(r["text"], r["lang"]) for r in found]
+    picked = rows.join(F.broadcast(rates), "lang").withColumn("chance", chance).where("chance < rate")  # one row for each language
+    picked = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "chance")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [drawn_grams(t.as_py(), str(i.as_py()), cfg).tobytes() for t, i in zip(batch.column("text"), batch.column("doc_id"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("chance"), batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.binary())], ["chance", "doc_id", "lang", "grams"])
+
+    found = in_batches(picked, work, "chance double, doc_id string, lang string, grams binary")
+    found = found.orderBy("chance", "doc_id", "lang", "grams").limit(math.ceil(1.25 * share * len(counts))).collect()
+    return [(np.frombuffer(r["grams"], cfg.gram_type), r["lang"]) for r in found]
 
 
-def identify(docs: DataFrame, cfg: LanguageConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected and the columns named in ``keep``."""
+def identify(docs: DataFrame, cfg: LanguageConfig | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected; with ``carry`` also the input row as a struct, ``row``."""
     cfg = cfg or LanguageConfig()
     model = train(sample_labelled(docs, cfg), cfg)
-    rows = docs.select(held_out(docs["doc_id"], cfg.folds).alias("__held"), *[docs[c].alias(f"__{c}") for c in dict.fromkeys(("doc_id", "text", *keep))])
-    names = [("held_out", "__held"), *[(c, f"__{c}") for c in dict.fromkeys(("doc_id", *keep))]]
-    kinds = {n: rows.schema[m].dataType.simpleString() for n, m in names}
+    rows = with_row(docs, carry, doc_id=docs["doc_id"], held_out=held_out(docs["doc_id"], cfg.folds))
+    names, at = ["doc_id", "held_out", *(["row"] if carry else [])], text_at(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [predict_text(t.as_py(), model) if model else (UNDETERMINED, 0.0, True) for t in batch.column("__text")]
-            cols = [batch.column(m) for _, m in names]
+            got = [predict_text(t.as_py(), model) if model else (UNDETERMINED, 0.0, True) for t in text_of(batch, at)]
+            cols = [batch.column(n) for n in names]
             cols += [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*[n for n, _ in names], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", lang_pred string, score double, rejected boolean"
-    out = in_batches(rows, work, schema)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", *[c for c in keep if c != "doc_id"])
+    out = in_batches(rows, work, schema_of(rows, names, "lang_pred string, score double, rejected boolean"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", *names[2:])

@@ -12,7 +12,8 @@ threshold decides about the rest.
 Where a long document stands at the threshold, the budget is left short of the
 target by up to its length.  If that is more than ``tolerance`` of the target,
 a further threshold is found in the same way for the documents not yet taken
-that are no longer than what is left; this goes on for ``rounds`` at most.
+that are no longer than what is left.  This goes on until no source is short or
+nothing that is left fits; each time takes one document at least.
 
 Everything runs as DataFrame functions.  Defined cases: a null text has size 0;
 a null source is a source, the last one; rows that repeat an id are taken or
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import durable
+from strataline.llm.common import discard, durable
 
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -38,9 +39,12 @@ class MixConfig:
     weights: tuple[int, ...] = (1, 2, 3)
     repeats: int = 3
     tolerance: float = 0.001
-    rounds: int = 5
     seed: str = "mix"
     broadcast_bytes: int = 8 << 20
+    #: a table of sources too large to broadcast is joined in so many copies, so that no source is one task's work
+    salts: int = 64
+    #: where so few rows are open, they are gone through at once
+    few_rows: int = 100_000
 
 
 def count_words(text: Column) -> Column:
@@ -102,75 +106,110 @@ def thresholds(places: DataFrame, budgets: DataFrame) -> DataFrame:
     part = inside(rows, "high", high)
     mid = durable(level(part, "mid", high.select("source", "budget")), "mix-mid")
     last = level(inside(part, "mid", mid), "place", mid.select("source", "budget"))
-    return last.select("source", F.col("place").alias("threshold"), F.col("budget").alias("rest"))
+    last = durable(last.select("source", F.col("place").alias("threshold"), F.col("budget").alias("rest")), "mix-edge")
+    discard(high, mid)
+    return last
 
 
 def _taken(cuts: Column, size: Column, place: Column) -> Column:
     return F.exists(cuts, lambda c: (place < c["threshold"]) & (size <= c["longest"]))
 
 
-def _bounded(plan: DataFrame, cfg: MixConfig) -> DataFrame:
-    """The table of sources, broadcast if its measured size is within the bound."""
-    n, longest = plan.agg(F.count("*"), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
-    return F.broadcast(plan) if n * (longest + 64 + 16 * cfg.rounds) <= cfg.broadcast_bytes else plan
+def _with_source(rows: DataFrame, plan: DataFrame, cfg: MixConfig) -> DataFrame:
+    """The rows (source, place, ..) with the plan of their source, as a struct ``s``.
+
+    The plan is broadcast if its measured size is within the bound; else both sides are salted.
+    """
+    plan = plan.select(F.struct("source").alias("of"), F.struct("*").alias("s"))
+    n, longest, cuts = plan.agg(F.count("*"), F.coalesce(F.max(F.octet_length("s.source")), F.lit(0)), F.coalesce(F.max(F.size("s.cuts")), F.lit(0))).first()
+    on = F.struct(F.col("source").alias("source")) == F.col("of")
+    if n * (longest + 64 + 16 * cuts) <= cfg.broadcast_bytes:
+        return rows.join(F.broadcast(plan), on).drop("of")
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    return rows.join(plan, on & (F.pmod(F.col("place"), F.lit(cfg.salts)) == F.col("salt"))).drop("of", "salt")
+
+
+def _filled(open_rows: DataFrame, due: DataFrame, cfg: MixConfig) -> DataFrame:
+    """source, places: what the further thresholds would take of few open rows, found in one pass over each source.
+
+    In the order of places, a document is taken if it fits into what is left; where one doesn't
+    while it fitted at the last stop, the next threshold begins there, unless little enough is left.
+    """
+    items = open_rows.groupBy("source", "place").agg(F.sum("size").alias("size")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("items"))
+    rows = items.alias("i").join(due.alias("d"), F.expr("i.source <=> d.source")).select("i.source", "items", "rest", "target")
+    start = F.struct(F.col("rest").alias("rest"), F.col("rest").alias("longest"), F.lit(False).alias("done"), F.expr("CAST(array() AS array<bigint>)").alias("places"))
+
+    def step(s: Column, x: Column) -> Column:
+        candidate = ~s["done"] & (x["size"] <= s["longest"])
+        fits = candidate & (x["size"] <= s["rest"])
+        stop = candidate & ~fits
+        return F.struct(
+            F.when(fits, s["rest"] - x["size"]).otherwise(s["rest"]).alias("rest"), F.when(stop, s["rest"]).otherwise(s["longest"]).alias("longest"),
+            (s["done"] | (stop & (s["rest"] <= cfg.tolerance * F.col("target")))).alias("done"), F.when(fits, F.concat(s["places"], F.array(x["place"]))).otherwise(s["places"]).alias("places"),
+        )
+
+    return rows.select("source", F.aggregate("items", start, step, lambda s: s["places"]).alias("places"))
 
 
-def mix(docs: DataFrame, cfg: MixConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and the columns named in ``keep``."""
+def mix(docs: DataFrame, cfg: MixConfig | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies; with ``carry`` also the input row as a struct, ``row``."""
     cfg = cfg or MixConfig()
-    sized = docs.select(docs["doc_id"], docs["source"], count_words(docs["text"]).alias("size"), place(docs["doc_id"], cfg.seed).alias("place"))
-    places = durable(sized, "mix-places")
+    own = [docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), count_words(docs["text"]).alias("size"), place(docs["doc_id"], cfg.seed).alias("place")]
+    places = durable(docs.select(*own), "mix-places")
     sources = targets(places.groupBy("source").agg(F.sum("size").alias("source_size")), cfg)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    sources = durable(sources.withColumn("whole", F.least(whole, F.lit(cfg.repeats))).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
-    plan = sources.select("source", "source_size", "target", "whole", F.expr("CAST(array() AS array<struct<threshold:bigint,longest:double>>)").alias("cuts"), F.col("budget").alias("rest"))
-    open_rows = places
-    for i in range(cfg.rounds):
-        short = plan.where(F.col("rest") > cfg.tolerance * F.col("target"))
-        if i:  # what is not yet taken and fits into what is left
-            on = F.expr("p.source <=> s.source")
-            part = open_rows.alias("p").join(_bounded(short, cfg).alias("s"), on).where(~_taken(F.col("s.cuts"), F.col("p.size"), F.col("p.place")) & (F.col("p.size") <= F.col("s.rest")) & (F.col("p.size") > 0))
-            open_rows = durable(part.select("p.source", "size", "place"), "mix-open")
-        found = thresholds(open_rows, short.select("source", F.col("rest").alias("budget")))
-        fits = F.lit(float(1 << 62)) if i == 0 else F.col("p.rest")
+    sources = sources.withColumn("whole", F.least(whole, F.lit(cfg.repeats))).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = durable(sources.select("source", "source_size", "target", "whole", F.expr("CAST(array() AS array<struct<threshold:bigint,longest:double>>)").alias("cuts"), F.col("budget").alias("rest")), "mix-plan")
+    short, open_rows, last = F.col("rest") > cfg.tolerance * F.col("target"), places, None
+    while not plan.where(short).isEmpty():
+        due = plan.where(short)
+        if open_rows is not places or last is not None:  # what is not yet taken and fits into what is left
+            part = _with_source(open_rows, due, cfg).where(~_taken(F.col("s.cuts"), F.col("size"), F.col("place")) & (F.col("size") <= F.col("s.rest")) & (F.col("size") > 0))
+            before, open_rows = open_rows, durable(part.select("source", "size", "place"), "mix-open")
+            if before is not places:
+                discard(before)
+            n = open_rows.count()
+            if n <= cfg.few_rows:
+                last = durable(_filled(open_rows, due, cfg), "mix-filled") if n else None
+                break
+        first = open_rows is places
+        found = thresholds(open_rows, due.select("source", F.col("rest").alias("budget")))
+        fits = F.lit(float(1 << 62)) if first else F.col("p.rest")
         cut = F.struct(F.coalesce("f.threshold", F.lit(1 << 60)).alias("threshold"), fits.alias("longest"))
         all_of = open_rows.groupBy("source").agg(F.sum("size").alias("words"))  # where everything fits, there is no threshold
         joined = plan.alias("p").join(found.alias("f"), F.expr("p.source <=> f.source"), "left").join(all_of.alias("a"), F.expr("p.source <=> a.source"), "left")
-        due = F.expr(f"p.rest > {cfg.tolerance!r}D * p.target")
+        is_due = F.expr(f"p.rest > {cfg.tolerance!r}D * p.target")
         rest = F.coalesce("f.rest", F.greatest(F.col("p.rest") - F.coalesce("a.words", F.lit(0)), F.lit(0.0)))
-        plan = durable(joined.select("p.source", "source_size", "target", "whole", F.when(due, F.concat("p.cuts", F.array(cut))).otherwise(F.col("p.cuts")).alias("cuts"), F.when(due, rest).otherwise(F.col("p.rest")).alias("rest")), "mix-plan")
-        if plan.where(F.col("rest") > cfg.tolerance * F.col("target")).isEmpty():
-            break
-    small = _bounded(plan, cfg).select(F.struct("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "cuts")])
-    if keep:
-        rows = docs.select(docs["doc_id"].alias("__id"), docs["source"].alias("__from"), count_words(docs["text"]).alias("__size"), place(docs["doc_id"], cfg.seed).alias("__place"), *[docs[c] for c in keep if c != "doc_id"])
-    else:
-        rows = places.select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__size"), F.col("place").alias("__place"))
-    rows = rows.join(small, F.struct(F.col("__from").alias("source")) == F.col("__source"))
-    copies = F.col("__whole") + _taken(F.col("__cuts"), F.col("__size"), F.col("__place")).cast("int")
-    return rows.select(
-        F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__size") * copies).alias("taken"), copies.alias("copies"), *[c for c in keep if c != "doc_id"],
-    )
-
-
-def oracle(cfg: MixConfig | None = None) -> str:
-    """The same mix as DuckDB SQL: one ordered running sum instead of nested histograms."""
+        before, plan = plan, durable(joined.select("p.source", "source_size", "target", "whole", F.when(is_due, F.concat("p.cuts", F.array(cut))).otherwise(F.col("p.cuts")).alias("cuts"), F.when(is_due, rest).otherwise(F.col("p.rest")).alias("rest")), "mix-plan")
+        discard(before)
+        last = plan
+    rows = _with_source(docs.select(*own, F.struct("*").alias("row")) if carry else places, plan, cfg)
+    more = _taken(F.col("s.cuts"), F.col("size"), F.col("place"))
+    if last is not None and last is not plan:  # at most few_rows places in all
+        extra = last.select(F.struct("source").alias("of"), F.explode("places").alias("at"))
+        rows = rows.join(F.broadcast(extra), (F.struct(F.col("source").alias("source")) == F.col("of")) & (F.col("place") == F.col("at")) & (F.col("size") <= F.col("s.rest")), "left")
+        more = more | F.col("at").isNotNull()
+    copies = F.col("s.whole") + more.cast("int")
+    return rows.select("doc_id", "size", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"), *(["row"] if carry else []))
+
+
+def oracle(cfg: MixConfig | None = None, rounds: int = 8) -> str:
+    """The same mix as DuckDB SQL, for at most ``rounds`` thresholds: one ordered running sum instead of nested histograms."""
     cfg = cfg or MixConfig()
     picks = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(cfg.weights))
-    n, due, hit, rounds = cfg.rounds, f"rest > {cfg.tolerance!r}::DOUBLE * target", "FALSE", ""
+    n, due, hit, steps = rounds, f"rest > {cfg.tolerance!r}::DOUBLE * target", "FALSE", ""
     for i in range(1, n + 1):
         longest = f"{float(1 << 62)!r}::DOUBLE" if i == 1 else "rest"
-        rounds += f"""
-open{i} AS (
+        steps += f"""
+open{i} AS MATERIALIZED (
   SELECT d.source, place, sum(size)::BIGINT AS words FROM sized d JOIN plan{i - 1} b ON d.source IS NOT DISTINCT FROM b.source
   WHERE {due} AND NOT ({hit}) AND size <= {longest} GROUP BY ALL),
 run{i} AS (
   SELECT o.source, place, words, rest, sum(words) OVER (PARTITION BY o.source ORDER BY place)::BIGINT AS after
   FROM open{i} o JOIN plan{i - 1} b ON o.source IS NOT DISTINCT FROM b.source),
-edge{i} AS (
+edge{i} AS MATERIALIZED (
   SELECT source, min(place) FILTER (after > rest) AS threshold,  arg_min(rest - (after - words), place) FILTER (after > rest) AS left_over, max(after) AS everything FROM run{i} GROUP BY source),
-plan{i} AS (
+plan{i} AS MATERIALIZED (
   SELECT p.* EXCLUDE (rest), CASE WHEN {due} THEN coalesce(threshold, {1 << 60}) ELSE 0 END AS cut{i}, CASE WHEN {due} THEN {longest} ELSE 0 END AS longest{i},
          CASE WHEN {due} THEN coalesce(left_over, greatest(rest - coalesce(everything, 0), 0)) ELSE rest END AS rest
   FROM plan{i - 1} p LEFT JOIN edge{i} e ON p.source IS NOT DISTINCT FROM e.source),"""
@@ -194,7 +233,7 @@ targets AS (
 budgets AS (
   SELECT *, (CASE WHEN source_size > 0 THEN least(floor(target / source_size), {cfg.repeats}) ELSE 0 END)::INTEGER AS whole FROM targets),
 plan0 AS (SELECT *, target - whole * source_size AS rest FROM budgets),
-{rounds}
+{steps}
 taken AS (
   SELECT doc_id, size, source_size, target, whole + CASE WHEN {hit} THEN 1 ELSE 0 END AS copies
   FROM sized d JOIN plan{n} b ON d.source IS NOT DISTINCT FROM b.source)

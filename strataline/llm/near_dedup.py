@@ -17,11 +17,12 @@ Jaccard similarity of their shingle sets, both computed exactly, is 0.8 or more.
 Classes are the connected components of the links.
 
 Nothing pairs all members of a bucket.  Equal texts are one node.  Each bucket
-first tests its members against its most central one (the node in the fullest
-buckets).  Where a group of candidates then still has several components, the
-nodes outside its largest one are tested against the group, in blocks of
-bounded size inside tasks, with the registers as a filter and one link per
-node and component as an answer; only links leave the tasks.
+first tests its members against its most central one, the head (the node in the
+fullest buckets).  Where the others of a bucket are then still in several
+components, those outside the largest one are tested against the rest, in blocks
+of bounded size inside tasks, with the registers as a filter; only links leave the
+tasks.  A pair is tested in the first bucket that it shares and nowhere else, and
+not at all once it is in one component: what is not tested can't change a class.
 
 Defined cases: a null text counts as an empty one; texts without words are one
 class if they are equal and never near others; texts of fewer than five words
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import durable, in_batches
+from strataline.llm.common import discard, discard_paths, durable, in_batches, stage_paths, stages_since
 
 U = np.uint64
 
@@ -54,7 +55,11 @@ class NearConfig:
     seed: int = 3
     #: registers may agree this much less than the similarity before a pair of a block is not verified (4.5 sigma)
     slack: float = 0.15
-    block_chars: int = 4 << 20
+    #: a block of a bucket holds about so many rows and characters at most
+    block_rows: int = 256
+    block_chars: int = 1 << 20
+    #: so many pairs share one copy of their head's text
+    hub_pairs: int = 4096
 
     @property
     def registers(self) -> int:
@@ -193,6 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
+        old = e
         if large:
             e = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         else:
@@ -203,7 +209,9 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        return durable(out.where("a != b").distinct(), "edges")
+        out = durable(out.where("a != b").distinct(), "edges")
+        discard(old, least)
+        return out
 
     e, before = durable(edges.where("a != b").distinct(), "edges"), None
     while True:
@@ -212,13 +220,22 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    rooted = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    rooted = durable(rooted, "roots")
+    discard(e)
+    return rooted
 
 
 def verify(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """The pairs (a, b) that are linked.  b repeats, so its shingles are kept from pair to pair."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) that are linked.
+
+    b repeats, so its shingles are kept from pair to pair; a b of very many pairs is
+    salted, with a copy of its text for every ``hub_pairs`` of them.
+    """
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / cfg.hub_pairs).cast("int").alias("salts"))
+    hubs = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(salts, "b").select("b", "text_b", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    both = left.drop("salts").join(hubs.drop("salts"), ["b", "salt"]).sortWithinPartitions("b").select("a", "b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, last, last_set = Words(), None, None
@@ -235,11 +252,11 @@ def verify(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     return in_batches(both, work, "a binary, b binary")
 
 
-def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> list[tuple[bytes, bytes]]:
-    """Links between two blocks, at most one for each outer node and inner component.
+def block_links(bucket: int, outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of a bucket, at most one for each outer node and inner component.
 
-    Only pairs that share a band are candidates, and either signature may agree.  An inner component that an
-    outer node is linked to already needs no further test.
+    ``bucket`` must be the first band that a pair shares, and either signature may agree.  An
+    inner component that an outer node is linked to already needs no further test.
     """
     seen, sets = Words(), {}
 
@@ -253,12 +270,15 @@ def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> li
     roots = inner["root"].map(bytes).to_numpy()
     codes, _ = pd.factorize(roots)
     nodes, texts = inner["node"].map(bytes).to_list(), inner["text"].to_list()
+    main, names = inner["main"].to_numpy(bool), np.array(nodes, object)
     found = []
     for node, root, text, reg, band in zip(outer["node"], outer["root"], outer["text"], outer["registers"], outer["bands"], strict=True):
         node, done = bytes(node), set()
         agree = (registers == np.frombuffer(reg, np.uint8).reshape(2, -1)).mean(2).max(1)
-        near = np.flatnonzero((roots != bytes(root)) & (agree >= cfg.similarity - cfg.slack))
-        near = near[(bands[near] == np.asarray(band)).any(1)]
+        # two nodes outside the largest component meet twice: the lesser one tests
+        near = np.flatnonzero((main | (names > node)) & (roots != bytes(root)) & (agree >= cfg.similarity - cfg.slack))
+        shared = bands[near] == np.asarray(band)
+        near = near[shared.any(1) & (np.asarray(band)[shared.argmax(1)] == bucket)]
         for k in near[np.argsort(-agree[near], kind="stable")]:
             if codes[k] not in done and max(similarities(of(node, text), of(nodes[k], texts[k]))) >= cfg.similarity:
                 done.add(codes[k])
@@ -266,42 +286,43 @@ def block_links(outer: pd.DataFrame, inner: pd.DataFrame, cfg: NearConfig) -> li
     return found
 
 
-def residual_links(members: DataFrame, groups: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Links between components inside groups of candidates.
+def residual_links(members: DataFrame, heads: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """Links between components inside buckets, but for those of the heads.
 
-    The nodes of a group outside its largest component (outer) meet all nodes of
-    the group (inner) in a grid of blocks of about ``block_chars`` characters,
-    and each block is one task's work.  Groups of one component need none.
+    The nodes of a bucket outside its largest component (outer) meet all others
+    (inner) in a grid of blocks, each block one task's work.  Buckets whose nodes
+    but the head are in one component need none.
     """
-    rows = groups.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
-    rows = rows.join(texts.select("node", "text"), "node").join(nodes.select("node", "bands", "registers"), "node")
-    rows = durable(rows, "group-rows")
-    parts = durable(rows.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(F.length("text") + 1000).alias("chars")), "group-roots")
-    plan = parts.groupBy("group").agg(F.max(F.struct("n", "root", "chars")).alias("main"), F.count("*").alias("roots"), F.sum("chars").alias("chars")).where("roots > 1")
-    plan = durable(plan.select("group", F.col("main.root").alias("main"), F.ceil(F.col("chars") / cfg.block_chars).cast("int").alias("inner_n"), F.ceil((F.col("chars") - F.col("main.chars")) / cfg.block_chars).cast("int").alias("outer_n")), "group-plan")
-    due = durable(rows.join(plan, "group"), "group-due")
+    rows = members.select("bucket", "node").join(heads, "bucket").where("node != b").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    plan = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("largest.root").alias("largest"))
+    due = rows.join(plan, "bucket").select("bucket", "node", "root", (F.col("root") == F.col("largest")).alias("main"))
+    due = durable(due.join(texts.select("node", "text"), "node").join(nodes.select("node", "bands", "registers"), "node"), "contested")
+    blocks = lambda which: F.ceil(F.greatest(F.count_if(which) / cfg.block_rows, F.sum(F.when(which, F.length("text")).otherwise(0)) / cfg.block_chars, F.lit(1))).cast("int")
+    grid = durable(due.groupBy("bucket").agg(blocks(F.lit(True)).alias("inner_n"), blocks(~F.col("main")).alias("outer_n")), "grid")
+    due = due.join(grid, "bucket")
     lot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = due.where("root != main").withColumn("i", lot("outer_n")).withColumn("j", every("inner_n")).withColumn("outer", F.lit(True))
-    inner = due.withColumn("j", lot("inner_n")).withColumn("i", every("outer_n")).withColumn("outer", F.lit(False))
-    cols = ["group", "i", "j", "node", "root", "text", "bands", "registers"]
+    cols = ["bucket", "i", "j", "node", "root", "main", "text", "bands", "registers"]
+    outer = due.where("NOT main").withColumn("i", lot("outer_n")).withColumn("j", every("inner_n")).select(cols)
+    inner = due.withColumn("j", lot("inner_n")).withColumn("i", every("outer_n")).select(*[F.col(c).alias(c) for c in cols])  # columns apart from outer's
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(a, b, cfg) if len(a) and len(b) else []
+    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(int(key[0]), a, b, cfg) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["a", "b"])
 
-    by = ["group", "i", "j"]
-    return outer.select(cols).groupBy(by).cogroup(inner.select(cols).groupBy(by)).applyInPandas(work, "a binary, b binary")
+    by = ["bucket", "i", "j"]
+    return outer.groupBy(by).cogroup(inner.groupBy(by)).applyInPandas(work, "a binary, b binary")
 
 
 def classes(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     """id (a struct of doc_id), node, row, class_id, class_size, keep, for every row."""
-    cfg = cfg or NearConfig()
+    cfg, before = cfg or NearConfig(), stage_paths()
     signed = durable(sign(docs, cfg), "signed")
     one = signed.groupBy("node").agg(F.min("row").alias("row"))
     nodes = durable(signed.join(one.select("row"), "row").select("id", "node", "bands", "registers"), "nodes")
     banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
-    crowded = durable(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = durable(banded.join(crowded, "bucket"), "members")
     central = durable(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
     heads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("h")).select("bucket", F.col("h.node").alias("b"))
@@ -310,16 +331,17 @@ def classes(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     wanted = nodes.select("id", "node").join(central.select("node"), "node", "left_semi")
     whole = docs.select(F.struct(docs["doc_id"]).alias("id"), _node(docs["text"]).alias("node"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     texts = durable(whole.join(wanted, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select("node", "text"), "texts")
-    links = durable(verify(pairs, texts, cfg), "links")
-    roots = durable(components(links), "roots")
-    groups = durable(components(pairs).withColumnRenamed("root", "group"), "groups")
-    more = durable(residual_links(members, groups, roots, nodes, texts, cfg), "more-links")
+    roots = components(verify(pairs, texts, cfg))
+    discard(pairs, central)
+    more = durable(residual_links(members, heads, roots, nodes, texts, cfg), "more-links")
+    discard(texts, members, heads, nodes)
     if not more.isEmpty():  # components of components: the stars so far and the new links
-        roots = durable(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     labelled = signed.select("id", "node", "row").join(roots, "node", "left")
     labelled = durable(labelled.select("id", "node", "row", F.coalesce("root", "node").alias("root")), "labelled")
     per = labelled.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id.doc_id").alias("class_id"), F.count("*").alias("class_size"))
     per = durable(per.select("root", "class_id", "class_size", F.col("first.row").alias("first")), "classes")
+    discard_paths(stages_since(before, labelled, per))
     return labelled.join(per, "root").select("id", "node", "row", "class_id", "class_size", (F.col("row") == F.col("first")).alias("keep"))
 
 
@@ -329,8 +351,7 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
-    """One row of each class, with all its columns."""
-    kept = classes(docs, cfg).where("keep").select("id", "node")
-    keyed = docs.select(F.struct(docs["doc_id"]).alias("__id"), _node(docs["text"]).alias("__node"), *[docs[c] for c in docs.columns])
-    kept = durable(kept.select(F.col("id").alias("__id"), F.col("node").alias("__node")), "kept")
-    return keyed.join(kept, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).select(*docs.columns)
+    """One row of each class, with all its columns, whatever they are called."""
+    kept = durable(classes(docs, cfg).where("keep").select("id", "node"), "kept")
+    keyed = docs.select(F.struct(docs["doc_id"]).alias("id"), _node(docs["text"]).alias("node"), F.struct("*").alias("row"))
+    return keyed.join(kept, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select("row.*")

@@ -1,8 +1,9 @@
 """Document quality: a factorisation machine over words, structure and metadata.
 
 Features of a text are its hashed words (relative frequencies), a dozen
-structure statistics (case, symbols, repetition, line shape) and its length as
-metadata.  The score is the logistic of
+structure statistics (case, symbols, repetition, line shape), its length, and
+what the table says about it (``n_chars``: its size, whether it is given, whether
+it is true).  The score is the logistic of
 
     w0 + sum_j w_j x_j + 1/2 sum_f [ (sum_j v_jf x_j)^2 - sum_j v_jf^2 x_j^2 ]
 
@@ -10,9 +11,11 @@ so all pairwise interactions cost time linear in the features of a text.  The
 machine is trained by AdaGrad in numpy on a bounded sample of labelled rows.
 
 Defined cases: a null text scores as an empty one; an empty text has a zero
-feature vector but for its length.  Labels outside 0 and 1 or null are not
+feature vector but for its metadata; a table without ``n_chars`` has none given.
+Labels outside 0 and 1 or null are not
 learned from.  With no labelled row every score is 0.5; with one class only,
-scores follow that class.  Repeated rows get equal scores.
+scores follow that class.  Repeated rows get equal scores.  Texts are read whole,
+in training too: executors send features, not texts, to the driver.
 """
 
 from __future__ import annotations
@@ -23,20 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import fields, fold, held_out, in_batches, unit_hash
+from strataline.llm.common import fields, fold, held_out, in_batches, schema_of, text_at, text_of, unit_hash, with_row
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """``train_rows`` and ``train_chars`` bound the labelled sample fitted on the driver."""
+    """The labelled sample fitted on the driver has at most 1.25 * ``train_rows`` rows of at most ``buckets`` words."""
 
     buckets: int = 1 << 14
     rank: int = 6
     train_rows: int = 4000
-    train_chars: int = 50_000
     epochs: int = 12
     rate: float = 0.15
     decay: float = 1e-5
@@ -44,7 +46,7 @@ class QualityConfig:
     seed: int = 11
 
 
-STATS = ("upper", "digit", "symbol", "bar", "spaces", "high", "word_length", "short_words", "distinct", "repeats", "lines", "line_repeats", "ends", "caps_words", "log_chars", "log_words")
+STATS = ("upper", "digit", "symbol", "bar", "spaces", "high", "word_length", "short_words", "distinct", "repeats", "lines", "line_repeats", "ends", "caps_words", "log_chars", "log_words", "said_chars", "said_none", "said_wrong")
 
 # byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence mark, 6 bar, 7 other symbol, 8 beyond ASCII
 _CLASS = np.zeros(256, np.uint8)
@@ -76,8 +78,11 @@ class Buckets(dict):
         return found
 
 
-def features(text: str | None, seen: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and values of the features of a text; structure statistics follow the word buckets."""
+def features(text: str | None, said: int | None, seen: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values of the features of a text, whose table says that it has ``said`` characters.
+
+    Structure statistics and metadata follow the word buckets.
+    """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     stats = np.zeros(len(STATS))
@@ -100,6 +105,7 @@ def features(text: str | None, seen: Buckets) -> tuple[np.ndarray, np.ndarray]:
         stats[12] = min(1.0, 10 * by[5] / len(words))
         stats[13] = sum(map(str.isupper, words)) / len(words)
     stats[14], stats[15] = np.log1p(len(text)) / 12, np.log1p(len(words)) / 10
+    stats[16:] = np.log1p(max(0, said or 0)) / 12, said is None, said is not None and said != len(text)
     values = counts / np.sqrt((counts**2).sum()) if len(counts) else counts
     return np.concatenate([ids, seen.n + np.arange(len(STATS))]), np.concatenate([values, stats])
 
@@ -119,15 +125,13 @@ class FactorisationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(ids, x), -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], cfg: QualityConfig) -> FactorisationMachine:
+def train(data: list[tuple[np.ndarray, np.ndarray, int]], cfg: QualityConfig) -> FactorisationMachine:
+    """Fit on (ids, values, label) rows."""
     rng = np.random.default_rng(cfg.seed)
     size = cfg.buckets + len(STATS)
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, cfg.rank))
-    if not rows:
+    if not data:
         return FactorisationMachine(0.0, w, np.zeros_like(v))
-    seen = Buckets(cfg.buckets)
-    data = [(*features(t, seen), y) for t, y in rows]
-    del rows, seen  # the texts and their words
     ones = sum(y for *_, y in data)
     w0 = float(np.log((ones + 0.5) / (len(data) - ones + 0.5)))
     g0, gw, gv = 1e-6, np.full(size, 1e-6), np.full((size, cfg.rank), 1e-6)
@@ -150,8 +154,12 @@ def train(rows: list[tuple[str, int]], cfg: QualityConfig) -> FactorisationMachi
     return FactorisationMachine(float(w0), w, v)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts outside the held-out fold, spread over both classes."""
+def _said(docs: DataFrame) -> Column:
+    return (docs["n_chars"] if "n_chars" in docs.columns else F.lit(None)).cast("long")
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Features and labels of a bounded sample of labelled texts outside the held-out fold, spread over both classes."""
     marks = fields(labels, "doc_id", "quality").where("quality IN (0, 1)")
     marks = marks.where(fold(marks.doc_id, cfg.folds) != 1)
     counts = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
@@ -159,29 +167,39 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> l
     if not total:
         return []
     chance = unit_hash(F.col("doc_id"), f"quality{cfg.seed}")
+    limit = cfg.train_rows + cfg.train_rows // 4
     picked = marks.withColumn("chance", chance).where(F.col("chance") < cfg.train_rows / total)
-    picked = picked.orderBy("chance", "doc_id", "quality").limit(cfg.train_rows + cfg.train_rows // 4)
+    picked = picked.orderBy("chance", "doc_id", "quality").limit(limit)
     # the sample has at most 1.25 train_rows rows of three numbers: that bounds the broadcast
-    texts = fields(docs, "doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= cfg.train_chars)
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy("chance", "doc_id", "text", "quality")
-    return [(r["text"], int(r["quality"])) for r in found.limit(cfg.train_rows + cfg.train_rows // 4).select("text", "quality").collect()]
+    texts = docs.select(docs["doc_id"], docs["text"], _said(docs).alias("said")).join(F.broadcast(picked), "doc_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Buckets(cfg.buckets)
+        for batch in batches:
+            found = [features(t.as_py(), n.as_py(), seen) for t, n in zip(batch.column("text"), batch.column("said"), strict=True)]
+            ids = [i.astype(np.uint32).tobytes() for i, _ in found]
+            values = [x.astype(np.float32).tobytes() for _, x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("chance"), batch.column("quality").cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["chance", "quality", "ids", "values"])
+
+    found = in_batches(texts.select("chance", "quality", "text", "said"), work, "chance double, quality int, ids binary, values binary")
+    rows = found.orderBy("chance", "quality", "ids", "values").limit(limit).collect()
+    return [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["values"], np.float32), r["quality"]) for r in rows]
 
 
-def assess(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the columns named in ``keep``."""
+def assess(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted; with ``carry`` also the input row as a struct, ``row``."""
     cfg = cfg or QualityConfig()
     model = train(sample_labelled(docs, labels, cfg), cfg)
-    rows = docs.select(held_out(docs["doc_id"], cfg.folds).alias("__held"), *[docs[c].alias(f"__{c}") for c in dict.fromkeys(("doc_id", "text", *keep))])
-    names = [("held_out", "__held"), *[(c, f"__{c}") for c in dict.fromkeys(("doc_id", *keep))]]
+    rows = with_row(docs, carry, doc_id=docs["doc_id"], held_out=held_out(docs["doc_id"], cfg.folds), said=_said(docs))
+    names, at = ["doc_id", "held_out", *(["row"] if carry else [])], text_at(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Buckets(cfg.buckets)
         for batch in batches:
-            score = [model.score(*features(t.as_py(), seen)) for t in batch.column("__text")]
-            cols = [batch.column(m) for _, m in names]
+            score = [model.score(*features(t.as_py(), n.as_py(), seen)) for t, n in zip(text_of(batch, at), batch.column("said"), strict=True)]
+            cols = [batch.column(n) for n in names]
             cols += [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, [*[n for n, _ in names], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{n}` {rows.schema[m].dataType.simpleString()}" for n, m in names) + ", score double, predicted int"
-    out = in_batches(rows, work, schema)
-    return out.select("doc_id", "held_out", "score", "predicted", *[c for c in keep if c != "doc_id"])
+    out = in_batches(rows, work, schema_of(rows, names, "score double, predicted int"))
+    return out.select("doc_id", "held_out", "score", "predicted", *names[2:])

@@ -160,8 +160,9 @@ def test_near_duplicates_with_differing_repeats(spark):
     assert found == {i: i // 2 * 2 for i in range(len(texts))}
     # the block step: with two nodes as two components, the plain signature lets the pair pass
     signed = near_dedup.sign(docs.limit(2), cfg).join(docs, near_dedup.F.col("id.doc_id") == docs["doc_id"]).toPandas()
-    signed["root"] = signed["node"]
-    assert len(near_dedup.block_links(signed[:1], signed[1:], cfg)) == 1
+    signed["root"], signed["main"] = signed["node"], [False, True]
+    shared = [b for b, c in zip(*signed["bands"], strict=True) if b == c]
+    assert [len(near_dedup.block_links(b, signed[:1], signed[1:], cfg)) for b in shared[:3]] == [1, 0, 0]
 
 
 def test_packing_is_gapless_and_exact(spark, odd):
