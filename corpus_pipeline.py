@@ -14,48 +14,29 @@ from pyspark.sql import functions as F
 from strataline.llm import language_id as language
 from strataline.llm import mixing, near_dedup, packing
 from strataline.llm import quality as grading
-from strataline.llm.common import durable, table
+from strataline.llm.common import discard, discard_paths, durable, stage_paths, stages_since, table
 from strataline.llm.queries import pack_config
 
 
-def _own(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return found.select(*docs.columns)
-
-
-def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The columns under names that no operator's result uses."""
-    names = [f"doc_{c}" for c in docs.columns]
-    return docs.select("*", *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]), names
-
-
-def _back(found: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
-    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents whose language can't be told."""
-    wide, names = _renamed(docs)
-    found = language.identify(wide, keep=tuple(names))
-    return _back(found.where("NOT rejected"), docs, names)
+    return language.identify(docs, carry=True).where("NOT rejected").select("row.*")
 
 
 def assess_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that score below one half."""
-    wide, names = _renamed(docs)
-    found = grading.assess(wide, table(spark, sf_dir, "labels"), keep=tuple(names))
-    return _back(found.where("predicted = 1"), docs, names)
+    return grading.assess(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
-    return _own(docs, near_dedup.drop_near_duplicates(docs))
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's documents up to its target, some more than once."""
-    wide, names = _renamed(docs)
-    found = mixing.mix(wide, keep=tuple(names)).where("copies > 0")
-    return _back(found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs, names)
+    found = mixing.mix(docs, carry=True).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,12 +52,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-# trained models and tokenizers are beyond SQL: tests hold the stages against brute force
+# trained models and tokenizers are beyond SQL: a test holds the whole chain against its decisions taken one by one in Python
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written before the next one reads it; what a stage leaves behind is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        before = stage_paths()
+        done = durable(stage(spark, docs, sf_dir), name)
+        discard_paths(stages_since(before, done))
+        if hasattr(docs, "stage_path"):
+            discard(docs)
+        docs = done
     return docs
