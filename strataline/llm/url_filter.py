@@ -1,7 +1,7 @@
 """URL filtering: rules first, then trust and distrust spread over host links.
 
 Edges join hosts: absolute links in the pages, and a host with its parent
-domain, both ways.  Trust is a personalised PageRank from the hosts whose pages
+domain, that one with its own, and so on down to two labels, both ways.  Trust is a personalised PageRank from the hosts whose pages
 the rules allow; distrust is one from the hosts whose pages the rules block,
 over the reversed links (who links to bad hosts is suspect).  A page that no
 rule fits is blocked where the distrust of its host exceeds its trust.  Rounds go
@@ -11,7 +11,8 @@ the settled ones, summed over all hosts.
 Everything runs as DataFrame functions, on edges and hosts, never on pairs of
 pages.  Defined cases: a null url, or one without ``://``, has an empty host and
 path; hosts that nothing reaches have neither trust nor distrust and are
-allowed; null html has no links; a host's links to itself are left out.
+allowed; null html has no links; a host's links to itself are left out; a host
+too long for a DNS name has no parents.  Rows that repeat a page_id are judged each.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm.common import durable
 
+LONGEST_HOST = 253  # characters of a DNS name
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,7 +54,8 @@ class UrlConfig:
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.regexp_replace(url, r"^(?s).*?://", "\x01"), "\x01", -1))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
@@ -83,8 +86,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     out = pages.select(host.alias("source"), F.explode(links).alias("link"))
     linked, _ = split_url(F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
     linked = out.select("source", linked.alias("target")).groupBy("source", "target").agg(F.count("*").alias("weight"))
-    hosts = pages.select(host.alias("source")).distinct()
-    parent = hosts.where("source rlike '[^.][.][^.]+[.][^.]'").select("source", F.regexp_extract("source", r"^[^.]+\.(.*)$", 1).alias("target"))
+    hosts = pages.select(host.alias("source")).distinct().where(f"length(source) <= {LONGEST_HOST}")
+    parts = F.split("source", "[.]")
+    suffix = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.struct(suffix(i).alias("source"), suffix(i + 1).alias("target")))
+    parent = hosts.where((F.size(parts) > 2) & ~F.array_contains(parts, "")).select(F.explode(steps).alias("e")).select("e.source", "e.target").distinct()
     both = F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target"))))
     kin = parent.select(both.alias("e")).select("e.source", "e.target", F.lit(1).cast("long").alias("weight"))
     edges = linked.unionByName(kin).where("source != target AND source != '' AND target != ''")
