@@ -8,7 +8,10 @@ clusters and cues.  Nothing in a file depends on time or chance, so equal
 payloads give equal files.
 
 Defined cases: a null text is stored as an empty one, which pads to one block
-of 64 zero bytes.  Bytes that are no Matroska file raise ``MatroskaError``.
+of 64 zero bytes.  Bytes that are no whole Matroska file raise ``MatroskaError``
+in ``parse``; in a table they are no failure: ``read`` gives nulls and says what
+is wrong in ``error``, and ``packets`` has no rows for them.  A null file is one
+of these.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -160,6 +164,13 @@ def lace_sizes(b: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int
 
 
 def parse(b: bytes) -> Media:
+    try:
+        return _parse(b)
+    except (IndexError, KeyError, OverflowError, UnicodeDecodeError, struct.error) as e:  # what damaged numbers, sizes and names lead to
+        raise MatroskaError(f"damaged: {e!r}") from e
+
+
+def _parse(b: bytes) -> Media:
     m, top = Media(), list(elements(b, 0, len(b)))
     if not top or top[0][0] != EBML or all(k != SEGMENT for k, *_ in top):
         raise MatroskaError("no Matroska file")
@@ -295,11 +306,15 @@ def padded(raw: bytes, align: int) -> bytes:
     return raw + bytes(-len(raw) % align if raw else align)
 
 
-def feature(b: bytes, m: Media) -> str:
-    sizes = [p.size for p in m.packets]
-    last = max((p.timestamp_ns for p in m.packets), default=0)
+def feature(samples: bytes, m: Media) -> str:
+    """What the samples are like and how they are stored; all numbers are exact."""
+    x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128  # 8-bit PCM is unsigned
+    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+    quarters = ",".join(str(int((q * q).sum())) for q in np.array_split(x, 4))
+    steps = int(np.abs(np.diff(x)).sum())
     layout = zlib.crc32(b"".join(struct.pack(">qqq", p.timestamp_ns, p.offset, p.size) for p in m.packets))
-    return f"tracks={len(m.tracks)};clusters={len(m.clusters)};cues={len(m.cues)};packets={len(sizes)};laced={sum(p.lacing > 0 for p in m.packets)};last_ns={last};bytes={sum(sizes)};layout={layout:08x}"
+    signal = f"samples={len(x)};sum={int(x.sum())};peak={int(np.abs(x).max(initial=0))};crossings={crossings};steps={steps};energy={quarters}"
+    return f"{signal};tracks={len(m.tracks)};clusters={len(m.clusters)};cues={len(m.cues)};packets={len(m.packets)};laced={sum(p.lacing > 0 for p in m.packets)};layout={layout:08x}"
 
 
 def store(docs: DataFrame, cfg: MediaConfig | None = None) -> DataFrame:
@@ -320,30 +335,42 @@ def store(docs: DataFrame, cfg: MediaConfig | None = None) -> DataFrame:
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the stored files hold: payload and file digests, and the feature."""
+    """doc_id, n_bytes and what the stored files hold: payload and file digests, the feature, and what is wrong with the file."""
     rows = fields(stored, "doc_id", "n_bytes", "media")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    def one(b: bytes | None) -> tuple:
+        if b is None:
+            return (*[None] * 6, "no file")
+        try:
+            m = parse(b)
+            back = payload(b, m, 1)
+        except MatroskaError as e:
+            return None, None, None, len(b), hashlib.sha256(b).hexdigest(), None, str(e)
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature(back, m), None
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column("media"):
-                b = x.as_py()
-                m = parse(b)
-                back = payload(b, m, 1)
-                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature(b, m)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            out = [one(x.as_py()) for x in batch.column("media")]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"],
             )
 
-    return in_batches(rows, work, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_batches(rows, work, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+
+
+def _packets_of(b: bytes | None) -> list[Packet]:
+    try:
+        return parse(b).packets if b is not None else []
+    except MatroskaError:
+        return []
 
 
 def packets(stored: DataFrame) -> DataFrame:
-    """The packet table: a row for each frame of each stored file."""
+    """The packet table: a row for each frame of each stored file that is whole."""
     rows = fields(stored, "doc_id", "media")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "track", "timestamp_ns", "cluster", "block", "offset", "size", "key", "lacing"]
@@ -351,7 +378,7 @@ def packets(stored: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x in enumerate(batch.column("media")):
-                found = parse(x.as_py()).packets if x.is_valid else []
+                found = _packets_of(x.as_py())
                 cols = [batch.column("doc_id").take(pa.array([i] * len(found), pa.int64()))]
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
                 cols += [pa.array([p[k] for p in found], t) for k, t in enumerate(kinds)]
