@@ -9,14 +9,16 @@ hash of its symbols, and the phrase names are the symbols of the next level.
 Where a phrase begins depends on a few neighbours only, so equal substrings get
 equal phrases, away from their ends, wherever they stand.
 
-The fingerprint keeps, for each of several levels, the least hash of the names
-in every of a few classes; the share of agreeing registers estimates how much
+The fingerprint keeps, for each of several levels, a hash of the least hash of the
+names in every of a few classes; the share of agreeing registers estimates how much
 of two texts' phrases agree.
 
 Defined cases: a null text is an empty one; an empty text has the empty
 fingerprint, like 1 to itself and 0 to others.  Equal texts have equal
 fingerprints.  Documents that repeat an id are ordered by text.  With one
-document alone, its next document is itself.  A null id counts as the least.
+document alone, its next document is itself.  A null id counts as the least.  Ids
+are whole numbers; a column of another type is refused.  Rows that share an id are
+one task's work.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from strataline.llm.common import fields, in_batches
 LEAST = -(1 << 63)
 EMPTY = 0xFFFF
 U = np.uint64
+NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -99,22 +102,25 @@ def parse_level(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(texts: list[str], cfg: FingerprintConfig) -> np.ndarray:
-    """Registers (text x level x class) of 16 bits; EMPTY where a class has no phrase."""
+    """Registers (text x level x class) of 16 bits; EMPTY where a class has no phrase.
+
+    A register is a hash of the least 64-bit hash of its class, so that chance agreement
+    stays at 2^-16 however many phrases there are.
+    """
     levels = cfg.last_level - cfg.first_level + 1
-    out = np.full((len(texts), levels * cfg.registers), EMPTY, np.uint16)
+    least = np.full((len(texts), levels * cfg.registers), NONE, U)
     lengths = np.array([len(t) for t in texts], np.int64)
-    if not lengths.sum():
-        return out
-    names = _mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    flat = out.reshape(-1)
-    for level in range(1, cfg.last_level + 1):
-        names, doc = parse_level(names, doc)
-        if level >= cfg.first_level:
-            h = _mix(names + U(level))
-            slot = (doc * levels + level - cfg.first_level) * cfg.registers + (h % U(cfg.registers)).astype(np.int64)
-            np.minimum.at(flat, slot, np.minimum(h >> U(48), U(EMPTY - 1)).astype(np.uint16))
-    return out
+    if lengths.sum():
+        names = _mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U))
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        flat = least.reshape(-1)
+        for level in range(1, cfg.last_level + 1):
+            names, doc = parse_level(names, doc)
+            if level >= cfg.first_level:
+                h = _mix(names + U(level))
+                slot = (doc * levels + level - cfg.first_level) * cfg.registers + (h % U(cfg.registers)).astype(np.int64)
+                np.minimum.at(flat, slot, h)
+    return np.where(least == NONE, U(EMPTY), np.minimum(_mix(least) >> U(48), U(EMPTY - 1))).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,6 +172,8 @@ def in_order(docs: DataFrame, per_partition: int = 4) -> tuple[DataFrame, int]:
     range before (of the last range, for the first).  Texts are shuffled once;
     range bounds and greatest ids come from the id column alone.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be a whole number")
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST))
     ids = docs.select(key.alias("key"))
     n = max(1, docs.rdd.getNumPartitions())
