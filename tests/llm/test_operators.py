@@ -225,19 +225,115 @@ def test_token_counts_at_every_prefix():
     assert size(cut) <= 101 and len(cut) > 50
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = lattice_lm.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    lw = np.log(np.maximum(pieces.initial, 1e-300))[:, None]
-    known = dict(zip(pieces.keys.tolist(), pieces.ids.tolist(), strict=True))
-
-    def total(s):
-        return 1.0 if not s else sum(np.exp(lw[known[h], 0]) * total(s[i:]) for i in range(1, len(s) + 1) if (h := pieces.hash(s[:i])) in known)
-
-    for word in ("the", "tionha", "wheel"):
-        assert pieces.score([word.encode()], lw)[0, 0] == pytest.approx(np.log(total("▁" + word)))
-    expected = np.zeros((pieces.size, 1))
-    pieces.score([b"thea", "\U0001f600".encode()], lw, np.ones((2, 1)), expected)
-    assert expected.sum() > 2
+class PlainLattice:
+    """The lattice model by recursion over all segmentations, with dictionaries of prefixes."""
+
+    def __init__(self, pieces, uses, cfg):  # uses: word -> uses by language
+        self.p, self.cfg, self.k = pieces, cfg, len(next(iter(uses.values()), [0]))
+        self.ids = dict(zip(pieces.keys.tolist(), pieces.ids.tolist(), strict=True))
+        prior = cfg.prior * pieces.initial + cfg.floor * (pieces.initial > 0)
+        pooled = prior.copy()
+        for w, c in uses.items():
+            for x, at, share in self.arcs_with_share("▁" + w, pieces.initial):
+                for i in self.spelling(x):
+                    pooled[i] += share * sum(c)
+        pooled /= pooled.sum()
+        self.start, self.inner, self.end = (np.repeat(prior[:, None], self.k, 1) for _ in range(3))
+        self.start, self.end = self.start * pieces.start[:, None], np.ones(self.k)
+        self.c, self.n = {}, {}
+        for w, c in uses.items():
+            text, c = "▁" + w, np.array(c, float)
+            for x, at, share in self.arcs_with_share(text, pooled):
+                for i in self.spelling(x):
+                    (self.inner if at else self.start)[i] += share * c
+                if share >= cfg.least_share and at <= cfg.context_chars:
+                    self.add(text[:at], x, share * c)
+            self.end += c
+            if len(text) <= cfg.context_chars:
+                self.add(text, "", c)
+        total = self.inner.sum(0) + self.end
+        self.start, self.inner, self.end = self.start / self.start.sum(0), self.inner / total, self.end / total
+
+    def add(self, prefix, x, c):
+        self.c[prefix, x] = self.c.get((prefix, x), 0) + c
+        self.n[prefix] = self.n.get(prefix, 0) + c
+
+    def spelling(self, x):
+        i = self.ids.get(self.p.hash(x)) if len(x) <= self.p.longest else None
+        return [i] if i is not None else self.p.spelt(ord(x)).tolist()
+
+    def steps(self, s, at):
+        """Texts of the arcs that leave a node: pieces, and the character where it is none."""
+        found = [s[at:b] for b in range(at + 1, min(len(s), at + self.p.longest) + 1) if self.p.hash(s[at:b]) in self.ids]
+        return found if any(len(x) == 1 for x in found) else [*found, s[at]]
+
+    def paths(self, s, at=0):
+        if at == len(s):
+            yield []
+        else:
+            for x in self.steps(s, at):
+                for rest in self.paths(s, at + len(x)):
+                    yield [(x, at), *rest]
+
+    def arcs_with_share(self, s, weight):
+        weighed = [(path, np.prod([weight[i] for x, _ in path for i in self.spelling(x)])) for path in self.paths(s)]
+        total, share = sum(w for _, w in weighed), {}
+        for path, w in weighed:
+            for arc in path:
+                share[arc] = share.get(arc, 0) + w / total
+        return [(x, at, v) for (x, at), v in share.items()]
+
+    def p_of(self, prefix, x, plain):
+        n, c = self.n.get(prefix, np.zeros(self.k)), self.c.get((prefix, x), np.zeros(self.k))
+        types = sum(p == prefix for p, _ in self.c) or 1
+        return (c + self.cfg.trust * (c.sum() + types * plain) / (n.sum() + types)) / (n + self.cfg.trust)
+
+    def word(self, w):
+        s, out = "▁" + w, np.zeros(self.k)
+        for path in self.paths(s):
+            one = self.p_of(s, "", self.end)
+            for x, at in path:
+                one = one * self.p_of(s[:at], x, np.prod([(self.inner if at else self.start)[i] for i in self.spelling(x)], 0))
+            out += one
+        return out
+
+
+@pytest.mark.parametrize(("block_words", "context"), [(10**6, 48), (4, 48), (4, 3)])
+def test_lattice_score_equals_sum_over_segmentations(spark, block_words, context):
+    rng = random.Random(3)
+    pool = ["the", "then", "thing", "her", "héé", "é😀", "a", "at", "ate", "mirror", "ab▁b", "zq"]
+    rows = [(i, " ".join(rng.choice(pool[: 4 + i % 9]) for _ in range(rng.randint(0, 8))), ["en", "de", None][i % 3]) for i in range(30)] + [(97, "THEN thenx ther 中", "en"), (98, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cfg = lattice_lm.LatticeConfig(public_tokenizers.path("piece_bpe_32k.model"), components=1, trust=5.0, block_words=block_words, context_chars=context, head_words=5)
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [r for r in rows if not out(r[0])]
+    top = max({r[2] for r in train} - {None}, key=lambda x: (sum(r[2] == x for r in train), [-ord(c) for c in x]))
+    side = lambda r: 0 if r[2] == top else 1
+    uses, d = {}, [0, 0]
+    for r in train:
+        d[side(r)] += 1
+        for w in (r[1] or "").replace("THEN", "then").split():
+            uses.setdefault(w, [0, 0])[side(r)] += 1
+    model = PlainLattice(lattice_lm.Pieces(cfg.vocabulary), uses, cfg)
+    n = np.sum(list(uses.values()), 0)
+    p = {w: model.word(w) for r in rows for w in (r[1] or "").replace("THEN", "then").split()}
+    found = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, cfg).collect()}
+    for i, text, _ in rows:
+        logs = np.log10(d) - np.log10(sum(d)) + np.log10((np.array(d) + 0.5) / (n + d + 1))
+        for w in (text or "").replace("THEN", "then").split():
+            logs = logs + np.log10(p[w]) + np.log10((n + 0.5) / (n + d + 1))
+        assert found[i] == pytest.approx(np.log10((10 ** (logs - logs.max())).sum()) + logs.max(), rel=1e-9), i
+
+
+def test_lattice_of_a_long_word_and_the_sum_of_all_words():
+    pieces, cfg = lattice_lm.Pieces(public_tokenizers.path("piece_bpe_32k.model")), lattice_lm.LatticeConfig("")
+    plain = [np.full((pieces.size, 1), 1 / pieces.size)] * 2
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 1)))
+    model = lattice_lm.Model([none], *plain, np.array([0.1]), cfg)
+    lat = lattice_lm.Lattice(pieces, ["▁" + "ab" * 20_000, "▁", "▁the"])
+    found = model.score(lat)
+    assert np.isfinite(found).all() and found[0, 0] < -1000
+    assert lat.shares(pieces.initial)[lat.source == lat.first[1]].sum() == pytest.approx(1)
 
 
 def test_lm_base_score_equals_brute_force(spark, small):
@@ -262,6 +358,11 @@ def test_lm_base_score_equals_brute_force(spark, small):
     assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
 
 
+def test_lm_is_no_worse_than_the_base_on_held_out_documents(spark):
+    found = [r for r in OPERATORS["lattice"](spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), None).collect() if r["held_out"]]
+    assert sum(r["score"] for r in found) >= sum(r["base_score"] for r in found)
+
+
 def test_mix_equals_oracle_and_meets_targets(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = mixing.mix(docs)
