@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.operators import lookup, merge, observe, runs
-from strataline.plans import pgm, planner, profile
+from strataline.plans import pgm, planner, profile, store
+from strataline.session import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPACITY, STEP, EPSILON, FAR = 256, 1000, 64, 10_000_000
@@ -259,6 +260,33 @@ def lookup_trace(spark: SparkSession, d: str) -> DataFrame:
     return lookup.trace(lookup.cover(_windows(spark, d), CAPACITY), mapping)
 
 
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    run = block_run(spark, d)
+    mapping = run.select("block_rank").distinct().select("block_rank", (F.col("block_rank") * 7 % 1009).alias("slot_id"))
+    segments = settled(pgm.build_levels(run.select(F.lit(0).alias("level"), "key"), EPSILON))
+    return store.indexed_lookup(keys_asked(spark, d), run, segments, mapping, CAPACITY)
+
+
+@query(f"""WITH {NEWER}, {ASKED_KEYS}, u AS (SELECT key, 1 AS own FROM newer UNION ALL SELECT key, 0 FROM asked), s AS (SELECT key, own, sum(own) OVER (ORDER BY key, own ROWS UNBOUNDED PRECEDING) AS below FROM u),
+n AS (SELECT count(*) AS n FROM newer) SELECT s.key, newer.key IS NOT NULL AS found, newer.value, below::BIGINT AS lower_bound, true AS in_window FROM n, s LEFT JOIN newer ON s.key = newer.key WHERE own = 0""")
+def indexed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every key by way of the learned index: its window, the blocks of the window, the hit in them."""
+    return _indexed(spark, d)[0].select("key", "found", "value", "lower_bound", F.expr(f"lower_bound BETWEEN lo AND hi AND hi - lo <= 2 * {EPSILON} + 2").alias("in_window"))
+
+
+@query(f"""WITH {NEWER}, {ASKED_KEYS}, u AS (SELECT key, 1 AS own FROM newer UNION ALL SELECT key, 0 FROM asked), s AS (SELECT key, own, sum(own) OVER (ORDER BY key, own ROWS UNBOUNDED PRECEDING) AS below FROM u)
+SELECT s.key, newer.key IS NOT NULL AS found, CASE WHEN newer.key IS NOT NULL THEN (below // {CAPACITY} * 7 % 1009)::BIGINT END AS hit_slot, newer.key IS NOT NULL AS hit_was_read, true AS once_in_order FROM s LEFT JOIN newer ON s.key = newer.key WHERE own = 0 AND (newer.key IS NOT NULL OR s.key < (SELECT max(key) FROM newer))""")
+def indexed_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The reads of those lookups: the hit's slot is among them, each slot once and in order; keys far above all are left out."""
+    answers, reads = _indexed(spark, d)
+    per = reads.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "slot_id"))), lambda x: x["slot_id"]).alias("slots"))
+    slot = F.when(F.col("found"), F.expr(f"lower_bound div {CAPACITY} * 7 % 1009"))
+    rows = answers.where(f"key < {FAR}").join(per, "key", "left").withColumn("hit_slot", slot)
+    most = newer(spark, d).agg(F.max("key").alias("most"))
+    rows = rows.join(F.broadcast(most)).where("found OR key < most")  # one row
+    return rows.select("key", "found", "hit_slot", F.coalesce(F.array_contains("slots", F.col("hit_slot")), F.lit(False)).alias("hit_was_read"), (F.col("slots") == F.array_sort(F.array_distinct("slots"))).alias("once_in_order"))
+
+
 # --- merging --------------------------------------------------------------------------------
 
 
@@ -341,24 +369,32 @@ def _event_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.lit(0).alias("level"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("key"))
 
 
-@query("SELECT count(*) * 2 AS queries, 0::BIGINT AS violations FROM events")
+TIMES = "k AS (SELECT epoch_us(ts) AS key FROM events), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM k)"
+
+
+@query(f"WITH {TIMES}, u AS (SELECT key, 1 AS own FROM k UNION ALL SELECT key, 0 FROM k UNION ALL SELECT key + 1, 0 FROM k), s AS (SELECT key, own, sum(own) OVER (ORDER BY key, own ROWS UNBOUNDED PRECEDING) AS below FROM u) SELECT DISTINCT key, below::BIGINT AS lower_bound, true AS in_window FROM s WHERE own = 0")
 def pgm_search_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Every time and the microsecond after it: the true lower bound lies in the window."""
+    """Every time and the microsecond after it, with its true lower bound, which lies in the index's window."""
     keys = _event_keys(spark, d)
-    wanted = keys.select("level", F.explode(F.array("key", F.col("key") + 1)).alias("key"))
-    found = pgm.search_rows(wanted, pgm.build_levels(keys, EPSILON))
+    wanted = keys.select("level", F.explode(F.array("key", F.col("key") + 1)).alias("key")).distinct()
+    found = pgm.search_rows(wanted, settled(pgm.build_levels(keys, EPSILON)))
     true = lookup.lower_bounds(wanted.select("key"), keys.select("key"))
-    joined = found.join(true.distinct(), "key")
-    return joined.agg(F.count("*").alias("queries"), F.count_if(~F.col("lower_bound").between(F.col("lo"), F.col("hi"))).alias("violations"))
+    return found.join(true, "key").select("key", "lower_bound", F.expr(f"lower_bound BETWEEN lo AND hi AND hi - lo <= 2 * {EPSILON} + 2").alias("in_window"))
 
 
-@query("SELECT count(*) AS keys, 0::BIGINT AS violations FROM events")
+@query(f"WITH {TIMES} SELECT key, rank, true AS certified FROM r")
 def pgm_certificate_band(spark: SparkSession, d: str) -> DataFrame:
+    """Every time with its rank, and whether its segment's certificate holds for it."""
     keys = _event_keys(spark, d)
     rows = runs.ranked(keys)
-    wrong = pgm.band_violations(rows, pgm.build_levels(keys, 8), 8)
-    marked = rows.select("key").join(wrong.select("key", F.lit(1).alias("wrong")), "key", "left")
-    return marked.agg(F.count("*").alias("keys"), F.count("wrong").alias("violations"))
+    wrong = pgm.band_violations(rows, settled(pgm.build_levels(keys, 8)), 8)
+    return rows.select("key", "rank").join(wrong.select("key", F.lit(True).alias("wrong")), "key", "left").select("key", "rank", F.col("wrong").isNull().alias("certified"))
+
+
+@query()
+def pgm_segments_events(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of all event times (no SQL, which would be quadratic; tested by brute force)."""
+    return pgm.build_levels(_event_keys(spark, d), EPSILON).select("segment", "start_rank", "end_rank")
 
 
 @query("SELECT e.key, s.segment, s.start_key FROM (SELECT event_id AS key FROM events) e ASOF JOIN (SELECT c_custkey AS segment, c_custkey * c_custkey AS start_key FROM customer) s ON e.key >= s.start_key")
@@ -366,9 +402,9 @@ def segment_asof(spark: SparkSession, d: str) -> DataFrame:
     """The rightmost segment that starts at or before the key: segments and keys meet in ranges of the key."""
     starts = table(spark, d, "customer").select((F.col("c_custkey") * F.col("c_custkey")).alias("start_key"), F.col("c_custkey").alias("segment"))
     keys = table(spark, d, "events").select(F.col("event_id").alias("key"))
-    n = lookup.lower_bounds(keys.select((F.col("key") + 1).alias("key")), starts.select(F.col("start_key").alias("key")))
-    order = runs.ranked(starts, "start_key").select("segment", "start_key", (F.col("rank") + 1).alias("lower_bound"))
-    return n.select((F.col("key") - 1).alias("key"), "lower_bound").join(order, "lower_bound").select("key", "segment", "start_key")
+    at = lookup.rightmost(keys, starts.select(F.col("start_key").alias("key")))
+    order = runs.ranked(starts, "start_key").select("segment", "start_key", F.col("rank").alias("at"))
+    return at.join(order, "at").select("key", "segment", "start_key")
 
 
 # --- observation ----------------------------------------------------------------------------
@@ -417,7 +453,7 @@ def pairwise_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PAIRS} SELECT count(*) AS pair_count, coalesce(round_even(avg(jaccard), 6), 0.0::DOUBLE) AS mean_jaccard, coalesce(max(jaccard), 0.0::DOUBLE) AS max_jaccard, coalesce(min(jaccard), 0.0::DOUBLE) AS min_jaccard, count(*) FILTER (intersection > 0) AS intersecting,
 count(*) FILTER (set_equal) AS set_equal, count(*) FILTER (sequence_equal) AS sequence_equal, {RATE.format(n="count(*) FILTER (sequence_equal)", d="count(*)")} AS sequence_equal_rate FROM pairs""")
 def pairwise_summary(spark: SparkSession, d: str) -> DataFrame:
-    return observe.pair_summary(_pairs(spark, d))
+    return observe.pair_summary(operations(spark, d).where("class = 'QUERY'"), asked(spark, d))
 
 
 HOT = f"{EVENTS}, hot AS (SELECT slot_id, count(DISTINCT op_index) AS query_count, count(*) AS access_count FROM q GROUP BY slot_id)"
@@ -485,49 +521,51 @@ def event_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 # --- planning -------------------------------------------------------------------------------
 
-LOADS = [(i, (i * 5 + 3) % 12 + 1) for i in range(40)]
-BLOCKS, BIN_CAPACITY = 200, 16
-PLANNED = f"""loads(bin_index, sampled_load) AS (VALUES {", ".join(f"({i}::BIGINT, {x}::BIGINT)" for i, x in LOADS)}),
-  st AS (SELECT *, least(coalesce(sum(sampled_load) OVER (ORDER BY bin_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), {BLOCKS})::BIGINT AS rank_start FROM loads),
-  planned AS (SELECT bin_index, sampled_load, rank_start, rank_start + least(sampled_load, {BLOCKS} - rank_start) AS rank_stop, least(sampled_load, {BLOCKS} - rank_start) AS real_count, {BIN_CAPACITY} - least(sampled_load, {BLOCKS} - rank_start) AS dummy_count FROM st)"""
-
+BIN_CAPACITY, BIN_BLOCK = 16, 4
+LOAD = "(i * 5 + 3) % 12 + 1"
+# bins of six and a half blocks on average, for all blocks of each run
+PLANNED = f"""{NEWER}, {OLDER}, rs AS (SELECT 'source' AS side, key, (row_number() OVER (ORDER BY key) - 1) // {BIN_BLOCK} AS b FROM newer UNION ALL SELECT 'target', key, (row_number() OVER (ORDER BY key) - 1) // {BIN_BLOCK} FROM older),
+  nb AS (SELECT side, max(b) + 1 AS blocks FROM rs GROUP BY side), loads AS (SELECT side, blocks, i AS bin_index, {LOAD} AS sampled_load FROM (SELECT side, blocks, unnest(range(blocks // 6 + 2)) AS i FROM nb)),
+  st AS (SELECT *, least(coalesce(sum(sampled_load) OVER (PARTITION BY side ORDER BY bin_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), blocks)::BIGINT AS rank_start FROM loads),
+  planned AS (SELECT side, bin_index, sampled_load, rank_start, rank_start + least(sampled_load, blocks - rank_start) AS rank_stop, least(sampled_load, blocks - rank_start) AS real_count, {BIN_CAPACITY} - least(sampled_load, blocks - rank_start) AS dummy_count FROM st)"""
 
-def planned(spark: SparkSession) -> DataFrame:
-    return planner.bin_intervals(spark.createDataFrame(LOADS, "bin_index long, sampled_load long"), BLOCKS, BIN_CAPACITY)
 
+def _binned(run: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The run in small blocks, and bins for all of them, with loads that SQL can make too."""
+    packed = runs.packed(runs.ranked(run), BIN_BLOCK)
+    blocks = -(-run.count() // BIN_BLOCK)
+    loads = run.sparkSession.range(blocks // 6 + 2).select(F.col("id").alias("bin_index"), F.expr("(id * 5 + 3) % 12 + 1").alias("sampled_load"))
+    return packed, planner.bin_intervals(loads, blocks, BIN_CAPACITY)
 
-def _small_blocks(df: DataFrame) -> DataFrame:
-    return runs.packed(runs.ranked(df), 4).where(F.col("block_rank") < BLOCKS)
 
-
-@query(f"WITH {PLANNED} SELECT * FROM planned")
+@query(f"WITH {PLANNED} SELECT bin_index, sampled_load, rank_start, rank_stop, real_count, dummy_count FROM planned WHERE side = 'source'")
 def bin_rank_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return planned(spark)
+    return _binned(newer(spark, d))[1]
 
 
-@query(f"WITH {PLANNED} SELECT count(*) AS bins, sum(sampled_load)::BIGINT AS sampled_capacity, count(*) * {BIN_CAPACITY} AS planned_slots, sum(dummy_count)::BIGINT AS dummy_count, sum(real_count)::BIGINT AS covered_ranks FROM planned")
+@query(f"WITH {PLANNED} SELECT count(*) AS bins, sum(sampled_load)::BIGINT AS sampled_capacity, count(*) * {BIN_CAPACITY} AS planned_slots, sum(dummy_count)::BIGINT AS dummy_count, sum(real_count)::BIGINT AS covered_ranks FROM planned WHERE side = 'source'")
 def plan_totals(spark: SparkSession, d: str) -> DataFrame:
-    return planner.totals(planned(spark), BIN_CAPACITY)
+    return planner.totals(_binned(newer(spark, d))[1], BIN_CAPACITY)
 
 
-BOUND = f"""{PLANNED}, {NEWER}, {OLDER}, rs AS (SELECT 'source' AS side, key, (row_number() OVER (ORDER BY key) - 1) // 4 AS b FROM newer UNION ALL SELECT 'target', key, (row_number() OVER (ORDER BY key) - 1) // 4 FROM older),
-  bound AS (SELECT side, key, b AS block_rank, bin_index FROM rs JOIN planned ON b >= rank_start AND b < rank_stop),
-  pts AS (SELECT s.side, p.bin_index, min(key) AS key FROM (VALUES ('source'), ('target')) s(side) CROSS JOIN planned p LEFT JOIN bound ON bound.side = s.side AND bound.bin_index = p.bin_index GROUP BY ALL),
+BOUND = f"""{PLANNED}, blocks_of AS (SELECT side, bin_index, unnest(range(rank_start, rank_stop)) AS b FROM planned),
+  bound AS (SELECT rs.side, key, rs.b AS block_rank, bin_index FROM rs JOIN blocks_of ON rs.side = blocks_of.side AND rs.b = blocks_of.b),
+  pts AS (SELECT p.side, p.bin_index, min(key) AS key FROM planned p LEFT JOIN bound ON bound.side = p.side AND bound.bin_index = p.bin_index GROUP BY ALL),
   tagged AS (SELECT side, bin_index, key IS NULL AS is_dummy, key, CASE WHEN key IS NULL THEN NULL ELSE 0 END::BIGINT AS record_index, CASE side WHEN 'source' THEN bin_index + 1 ELSE -bin_index - 1 END AS signed_tag FROM pts),
   ordered AS (SELECT *, row_number() OVER (ORDER BY is_dummy, key, signed_tag) - 1 AS position FROM tagged)"""
 
 
 @query(f"WITH {BOUND} SELECT key, block_rank, bin_index FROM bound WHERE side = 'source'")
 def bin_bind(spark: SparkSession, d: str) -> DataFrame:
-    return planner.bind(_small_blocks(newer(spark, d)), planned(spark)).select("key", "block_rank", "bin_index")
+    return planner.bind(*_binned(newer(spark, d))).select("key", "block_rank", "bin_index")
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
     """Both sides with the first record of each bin as its point: a choice that SQL can make too."""
     rows = None
     for side, run in (("source", newer(spark, d)), ("target", older(spark, d))):
-        bound = planner.bind(_small_blocks(run), planned(spark))
-        part = planner.interior_points(bound, planned(spark), side, planner.PlanConfig(seed=3), lambda n, u: 0)
+        packed, plan = _binned(run)
+        part = planner.interior_points(planner.bind(packed, plan), plan, side, planner.PlanConfig(seed=3), lambda n, u: F.lit(0))
         rows = part if rows is None else rows.unionByName(part)
     return planner.tag_order(rows)
 
@@ -543,53 +581,25 @@ def fetch_order(spark: SparkSession, d: str) -> DataFrame:
     return planner.fetch_order(_ordered(spark, d))
 
 
-@query(f"WITH {BOUND} SELECT count(DISTINCT bin_index) AS points, 0::BIGINT AS outside FROM bound WHERE side = 'source'")
+@query(f"WITH {BOUND}, held AS (SELECT bin_index, count(*) AS records, min(key) AS key_lo, max(key) AS key_hi FROM bound WHERE side = 'source' GROUP BY 1) SELECT bin_index, records, key_lo, key_hi, true AS inside, true AS at_index FROM held")
 def interior_membership(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded points lie among the records of their bins."""
-    bound = planner.bind(_small_blocks(newer(spark, d)), planned(spark))
-    points = planner.interior_points(bound, planned(spark), "source", planner.PlanConfig(seed=3)).where("NOT is_dummy")
-    inside = points.join(bound.select("bin_index", "key", F.lit(1).alias("inside")), ["bin_index", "key"], "left")
-    return inside.agg(F.count("*").alias("points"), F.count_if(F.col("inside").isNull()).alias("outside"))
-
-
-WHOLE = planner.PlanConfig(seed=3)
-
-
-def _whole(run: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All records of the run with their bins, and the bins, as many as the planner allocates to its blocks."""
-    packed = runs.packed(runs.ranked(run), 4)
-    blocks = packed.agg(F.coalesce(F.max("block_rank") + 1, F.lit(0))).first()[0]
-    plan = planner.bins(run.sparkSession, planner.allocate(blocks, WHOLE))
-    return planner.bind(packed, plan), plan
-
-
-def _ordered_all(spark: SparkSession, d: str) -> DataFrame:
-    parts = [planner.interior_points(*_whole(run), side, WHOLE) for side, run in (("source", newer(spark, d)), ("target", older(spark, d)))]
-    return planner.tag_order(parts[0].unionByName(parts[1]))
-
-
-@query()
-def bin_bind_all(spark: SparkSession, d: str) -> DataFrame:
-    """bin_bind takes the first blocks only, as its SQL does; this and the next three cover their runs."""
-    return _whole(newer(spark, d))[0].select("key", "block_rank", "bin_index")
-
-
-@query()
-def tag_order_all(spark: SparkSession, d: str) -> DataFrame:
-    return _ordered_all(spark, d)
-
-
-@query()
-def fetch_order_all(spark: SparkSession, d: str) -> DataFrame:
-    return planner.fetch_order(_ordered_all(spark, d))
+    """Seeded points are records of their bins, at the place that was drawn."""
+    packed, plan = _binned(newer(spark, d))
+    bound = planner.bind(packed, plan)
+    points = planner.interior_points(bound, plan, "source", planner.PlanConfig(seed=3)).where("NOT is_dummy").select("bin_index", F.col("key").alias("point"), "record_index")
+    joined = bound.join(points, "bin_index")
+    held = joined.groupBy("bin_index").agg(
+        F.count("*").alias("records"), F.min("key").alias("key_lo"), F.max("key").alias("key_hi"), F.bool_or(F.col("key") == F.col("point")).alias("inside"),
+        (F.count_if(F.col("key") < F.col("point")) == F.max("record_index")).alias("at_index"),
+    )
+    return held
 
 
 @query()
-def interior_membership_all(spark: SparkSession, d: str) -> DataFrame:
-    bound, plan = _whole(newer(spark, d))
-    points = planner.interior_points(bound, plan, "source", WHOLE).where("NOT is_dummy")
-    inside = points.join(bound.select("bin_index", "key", F.lit(1).alias("inside")), ["bin_index", "key"], "left")
-    return inside.agg(F.count("*").alias("points"), F.count_if(F.col("inside").isNull()).alias("outside"))
+def merge_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The composed plan of two whole runs with drawn loads and points: its fetches (no SQL; tested by its own rules)."""
+    packed = [runs.packed(runs.ranked(run), BIN_BLOCK) for run in (newer(spark, d), older(spark, d))]
+    return planner.merge_plan(3, packed[0], 4, packed[1], BIN_BLOCK, planner.PlanConfig(seed=3)).fetches
 
 
 @query("SELECT unnest([1, 8, 21, 64, 100, 200])::BIGINT AS blocks, 0::BIGINT AS violations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.operators.runs import cut_column, range_of
+from strataline.operators.runs import range_of
 
 
 def single(queries: DataFrame, run: DataFrame) -> DataFrame:
@@ -14,21 +14,44 @@ def single(queries: DataFrame, run: DataFrame) -> DataFrame:
     return queries.join(hits, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("found"), "value")
 
 
-def lower_bounds(queries: DataFrame, run: DataFrame) -> DataFrame:
-    """key, lower_bound: how many keys of the run are below it.
+def lower_bounds(queries: DataFrame, run: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, lower_bound: how many keys of the run are below it (in its group of ``by``).
 
-    Keys and queries are dealt to the same ranges; counts run inside a range and
-    the sizes of the ranges before are added.
+    A key that is not between the least and the greatest key of the run needs no
+    comparison.  The others and the keys of the run are dealt to the same ranges, cut
+    by both; counts run inside a range and the sizes of the ranges before are added.
+    A null key has no bound.
     """
-    bucket, cuts = range_of(run, "key")
-    keys = run.select("key", F.lit(1).alias("own"))
-    rows = keys.unionByName(queries.select("key", F.lit(0).alias("own"))).withColumn("range", cut_column(F.col("key"), cuts))
-    sizes = rows.groupBy("range").agg(F.sum("own").alias("n"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    below = F.sum("own").over(Window.partitionBy("range").orderBy("key", "own").rowsBetween(Window.unboundedPreceding, 0))
-    counted = rows.withColumn("below", below).where("own = 0").join(starts, "range")
-    return counted.select("key", (F.col("start") + F.col("below")).cast("long").alias("lower_bound"))
+    groups = list(by)
+    ends = run.groupBy(*by).agg(F.min("key").alias("__lo"), F.max("key").alias("__hi"), F.count("*").alias("__n"))
+    asked = queries.select(*by, "key")
+    if by:
+        asked = asked.join(F.broadcast(ends), groups, "left")  # a row for each group, such as a level
+    else:
+        lo, hi, n = ends.first()
+        asked = asked.withColumns({"__lo": F.lit(lo), "__hi": F.lit(hi), "__n": F.lit(n)})
+    empty, inside = F.coalesce("__n", F.lit(0)) == 0, (F.col("key") > F.col("__lo")) & (F.col("key") <= F.col("__hi"))
+    beyond = F.when(F.col("key").isNull(), None).when(empty | (F.col("key") <= F.col("__lo")), 0).otherwise(F.col("__n"))
+    outer = asked.where(~F.coalesce(inside, F.lit(False))).select(*by, "key", beyond.cast("long").alias("lower_bound"))
+    rows = run.select(*by, "key", F.lit(1).alias("own")).unionByName(asked.where(inside).select(*by, "key", F.lit(0).alias("own")))
+    bucket, _ = range_of(rows, "key")
+    rows = rows.withColumn("range", bucket)
+    sizes = rows.groupBy(*by, "range").agg(F.sum("own").alias("n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each range
+    ahead = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    below = F.sum("own").over(Window.partitionBy(*by, "range").orderBy("key", "own").rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn("below", below).where("own = 0").join(starts, [*by, "range"])
+    return counted.select(*by, "key", (F.col("start") + F.col("below")).cast("long").alias("lower_bound")).unionByName(outer)
+
+
+def rightmost(keys: DataFrame, starts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, at: which of the starts (from 0, in order) is the last one at or before the key; -1 where none is.
+
+    starts: key.  Keys of both are whole numbers.
+    """
+    found = lower_bounds(keys.select(*by, (F.col("key") + 1).alias("key")), starts, by)
+    return found.select(*by, (F.col("key") - 1).alias("key"), (F.col("lower_bound") - 1).alias("at"))
 
 
 def newest_first(queries: DataFrame, levels: DataFrame, active: list[int]) -> DataFrame:
@@ -63,7 +86,8 @@ def trace(covered: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def locate(slots: DataFrame, regions: DataFrame) -> DataFrame:
-    """slot_id, level, offset: the region that holds each slot.  regions: level, start, size (a row for each level)."""
+    """slot_id, level, offset: the region that holds each slot.  regions: level, start, size, a row for each level, and
+    levels are a logarithm of the records: that bounds the broadcast."""
     joined = slots.join(F.broadcast(regions), (F.col("slot_id") >= F.col("start")) & (F.col("slot_id") < F.col("start") + F.col("size")))
     return joined.select("slot_id", "level", (F.col("slot_id") - F.col("start")).alias("offset"))
 

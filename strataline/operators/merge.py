@@ -35,8 +35,8 @@ def counts(merged: DataFrame) -> DataFrame:
     return merged.agg(one(n).alias("newer"), one(o).alias("older"), F.count("*").alias("output"), one(n & o).alias("discarded"))
 
 
-def cursors(merged: DataFrame, capacity: int, step: int) -> DataFrame:
-    """The state after each decision: records, source and target cursors, blocks out, records pending, step."""
+def cursors(merged: DataFrame, capacity: int, step: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The state after each decision: records, source and target cursors, blocks out, records pending, step; and the columns ``carry``."""
     rows = ranked(merged, "key")
     cuts = rows.withColumn("range", F.expr("rank div 65536"))  # ranks are dense, so these ranges are of one size
     sums = cuts.groupBy("range").agg(F.sum(F.col("in_newer").cast("long")).alias("a"), F.sum(F.col("in_older").cast("long")).alias("b"))
@@ -46,7 +46,7 @@ def cursors(merged: DataFrame, capacity: int, step: int) -> DataFrame:
     out = cuts.withColumn("i", F.sum(F.col("in_newer").cast("long")).over(run)).withColumn("j", F.sum(F.col("in_older").cast("long")).over(run)).join(starts, "range")
     return out.select(
         "key", (F.col("rank") + 1).alias("r"), (F.col("i") + F.col("a0")).alias("i"), (F.col("j") + F.col("b0")).alias("j"),
-        F.expr(f"(rank + 1) div {capacity}").alias("blocks"), F.expr(f"(rank + 1) % {capacity}").alias("pending"), F.expr(f"rank div {step}").alias("step"),
+        F.expr(f"(rank + 1) div {capacity}").alias("blocks"), F.expr(f"(rank + 1) % {capacity}").alias("pending"), F.expr(f"rank div {step}").alias("step"), *carry,
     )
 
 

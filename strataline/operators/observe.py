@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.exact import ratio
+from strataline.operators.runs import ranked
 
 CLASSES = ("BUILD_INITIAL", "QUERY", "UPSERT", "BUILD_PGM", "MERGE")
 ALLOWED_EVENT = ("seq", "operation", "slot_id")
 
 
+class ScriptMismatch(ValueError):
+    pass
+
+
 def summary(operations: DataFrame, events: DataFrame) -> DataFrame:
     """One row of totals."""
     ops = operations.agg(F.count("*").alias("operation_count"), F.count_if(F.col("class") == "QUERY").alias("query_count"), F.count_if(F.col("class") == "MERGE").alias("merge_count"))
@@ -37,22 +42,27 @@ def operation_metrics(operations: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def slot_lists(operations: DataFrame, events: DataFrame) -> DataFrame:
+    """op_index, sequence (slots in order), repeated_slot_ids (ascending) of each operation, by its own events."""
+    e = events.groupBy("op_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "slot_id"))), lambda x: x["slot_id"]).alias("sequence"))
+    again = events.groupBy("op_index", "slot_id").count().where("count > 1").groupBy("op_index").agg(F.sort_array(F.collect_list("slot_id")).alias("repeated_slot_ids"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    joined = operations.select("op_index").join(e, "op_index", "left").join(again, "op_index", "left")
+    return joined.select("op_index", F.coalesce("sequence", none).alias("sequence"), F.coalesce("repeated_slot_ids", none).alias("repeated_slot_ids"))
+
+
 def histogram(metrics: DataFrame, column: str) -> DataFrame:
     return metrics.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("count"))
 
 
 def pairs(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """a, b, intersection, union, jaccard, set_equal, sequence_equal for all a < b of the queries.
+    """a, b, intersection, union_size, jaccard, set_equal, sequence_equal for all a < b of the queries.
 
     Intersections come from a join on slots; all pairs are what the metric is
     about, so its result, and only that, is as large as the pairs.
     """
     slots = events.select("op_index", "slot_id").distinct()
-    order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "slot_id"))), lambda x: x["slot_id"])
-    sizes = slots.groupBy("op_index").agg(F.count("*").alias("size"))
-    seqs = events.groupBy("op_index").agg(order.alias("sequence"))
-    info = queries.select("op_index").join(sizes, "op_index", "left").join(seqs, "op_index", "left")
-    info = info.select("op_index", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sequence", F.expr("CAST(array() AS array<bigint>)")).alias("sequence"))
+    info = shapes(queries, events)
     a = info.select(F.col("op_index").alias("a"), F.col("size").alias("size_a"), F.col("sequence").alias("seq_a"))
     b = info.select(F.col("op_index").alias("b"), F.col("size").alias("size_b"), F.col("sequence").alias("seq_b"))
     own = slots.join(queries.select("op_index"), "op_index", "left_semi")
@@ -66,14 +76,42 @@ def pairs(queries: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def pair_summary(found: DataFrame) -> DataFrame:
-    """The mean is of the rounded values, and is rounded again."""
-    n = F.count("*")
-    same = F.count_if("sequence_equal")
-    return found.agg(
-        n.alias("pair_count"), F.coalesce(F.bround(F.avg("jaccard"), 6), F.lit(0.0)).alias("mean_jaccard"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("max_jaccard"),
-        F.coalesce(F.min("jaccard"), F.lit(0.0)).alias("min_jaccard"), F.count_if(F.col("intersection") > 0).alias("intersecting"), F.count_if("set_equal").alias("set_equal"),
-        same.alias("sequence_equal"), ratio(same, n).alias("sequence_equal_rate"),
+def shapes(queries: DataFrame, events: DataFrame) -> DataFrame:
+    """op_index, size, set, sequence: how many slots a query touches, and digests of them as a set and in order."""
+    digest = lambda c: F.sha2(F.array_join(c.cast("array<string>"), ","), 256)
+    order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "slot_id"))), lambda x: x["slot_id"])  # a query's own events
+    per = events.groupBy("op_index").agg(order.alias("o")).select("op_index", F.size(F.array_distinct("o")).alias("size"), digest(F.array_sort(F.array_distinct("o"))).alias("set"), digest(F.col("o")).alias("sequence"))
+    none = F.sha2(F.lit(""), 256)
+    return queries.select("op_index").join(per, "op_index", "left").select("op_index", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("set", none).alias("set"), F.coalesce("sequence", none).alias("sequence"))
+
+
+def pair_summary(queries: DataFrame, events: DataFrame) -> DataFrame:
+    """One row about all pairs of queries; the mean is of the rounded values, and is rounded again.
+
+    Pairs without a common slot are counted, not made.  Queries with equal sets are one
+    row with their number, so only different sets that share a slot meet.
+    """
+    info = shapes(queries, events)
+    sets = info.groupBy("set", "size").agg(F.count("*").alias("n"), F.min("op_index").alias("op_index"))
+    slots = events.select("op_index", "slot_id").distinct().join(sets.select("op_index"), "op_index", "left_semi")
+    twin = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    common = slots.select(F.col("op_index").alias("a"), "slot_id").join(slots.select(F.col("op_index").alias("b"), "slot_id"), "slot_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    side = lambda x: sets.select(F.col("op_index").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"))
+    met = common.join(side("a"), "a").join(side("b"), "b").withColumn("times", F.col("n_a") * F.col("n_b"))
+    met = met.withColumn("jaccard", ratio(F.col("both"), F.col("size_a") + F.col("size_b") - F.col("both")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    total = info.agg(F.count("*").alias("q")).select((F.col("q") * (F.col("q") - 1) / 2).cast("long").alias("pairs"))
+    different = met.agg(zero(F.sum("times")).alias("met"), F.coalesce(F.sum(F.col("jaccard") * F.col("times")), F.lit(0.0)).alias("sum"), F.max("jaccard").alias("max"), F.min("jaccard").alias("min"))
+    same = sets.agg(zero(F.sum(twin("n"))).alias("set_equal"), zero(F.sum(F.when(F.col("size") > 0, twin("n")))).alias("full"))
+    ordered = info.groupBy("sequence").agg(F.count("*").alias("n")).agg(zero(F.sum(twin("n"))).alias("sequence_equal"))
+    one = total.join(different).join(same).join(ordered)  # one row each
+    pairs, full, apart = F.col("pairs"), F.col("full"), F.col("pairs") - F.col("met") - F.col("full")
+    mean = (F.col("sum") + full) / F.nullif(pairs, F.lit(0))
+    least = F.when((pairs == 0) | (apart > 0), 0.0).otherwise(F.least(F.col("min"), F.when(full > 0, 1.0)))
+    most = F.when(full > 0, 1.0).otherwise(F.coalesce("max", F.lit(0.0)))
+    return one.select(
+        pairs.alias("pair_count"), F.coalesce(F.bround(mean, 6), F.lit(0.0)).alias("mean_jaccard"), most.alias("max_jaccard"), F.coalesce(least, F.lit(0.0)).alias("min_jaccard"),
+        (F.col("met") + full).alias("intersecting"), "set_equal", "sequence_equal", ratio(F.col("sequence_equal"), pairs).alias("sequence_equal_rate"),
     )
 
 
@@ -124,11 +162,23 @@ def merge_metrics(operations: DataFrame, events: DataFrame) -> DataFrame:
 def equality_classes(labelled: DataFrame) -> DataFrame:
     """op_index, label: QClassN, numbered by where each key first occurs.  labelled: op_index, key."""
     first = labelled.groupBy("key").agg(F.min("op_index").alias("first"))
-    number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("first")) - 1  # one row for each distinct key
-    named = first.select("key", F.concat(F.lit("QClass"), number.cast("string")).alias("label"))
+    number = ranked(first.select("first").distinct(), "first")
+    named = first.join(number, "first").select("key", F.concat(F.lit("QClass"), F.col("rank").cast("string")).alias("label"))
     return labelled.join(named, "key").select("op_index", "label")
 
 
+def labels_of_script(script: DataFrame, operations: DataFrame) -> DataFrame:
+    """op_index, label of the queries of a run, from the script it came from: operation by operation, of the same kind.
+
+    script: op_index, kind, key.  operations: op_index, class.  Raises where an operation of either has no equal in the other.
+    """
+    both = script.join(operations, "op_index", "full_outer")
+    odd = both.where("kind IS NULL OR class IS NULL OR kind <> class").select("op_index").orderBy("op_index").head()
+    if odd is not None:
+        raise ScriptMismatch(f"operation {odd['op_index']} of script and run differ")
+    return equality_classes(script.where("kind = 'QUERY'").select("op_index", "key"))
+
+
 def class_counts(operations: DataFrame) -> DataFrame:
     """Operations of every class, zeros included."""
     kinds = operations.sparkSession.createDataFrame([(k,) for k in CLASSES], "class string")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.exact import round_div, trunc_div
+from strataline.operators.lookup import rightmost
 
 Point = tuple[int, int]
 
@@ -145,11 +146,21 @@ class IndexBuilder:
             self.open.add(key, self.n)
         self.last, self.n = key, self.n + 1
 
+    def drain(self) -> list[Segment]:
+        """The segments closed since the last call; the builder keeps the open one alone."""
+        out, self.done = self.done, []
+        return out
+
     def extend(self, keys: Iterable[int]) -> IndexBuilder:
         for k in keys:
             self.add(k)
         return self
 
+    def diagnostics(self) -> dict:
+        """The open segment: its first rank, the keys it spans, and the hull points that it holds."""
+        first = self.open.first
+        return {"start_rank": first[1] if first else None, "active_span": self.n - first[1] if first else 0, "hull_points": self.open.state_points}
+
     def index(self) -> Index:
         return Index(self.epsilon, self.n, [*self.done, self.open.close()] if self.n else [], self.last)
 
@@ -178,37 +189,40 @@ def build(keys: Iterable[int], epsilon: int) -> Index:
     return IndexBuilder(epsilon).extend(keys).index()
 
 
-SEGMENT_SCHEMA = "level int, epsilon int, segment int, start_key decimal(38,0), start_rank long, slope_num decimal(38,0), slope_den decimal(38,0), intercept decimal(38,0), end_key decimal(38,0), end_rank long, origin_num decimal(38,0), denominator decimal(38,0), n long"
+SEGMENT_SCHEMA = "level int, epsilon int, segment int, start_key decimal(38,0), start_rank long, slope_num decimal(38,0), slope_den decimal(38,0), intercept decimal(38,0), end_key decimal(38,0), end_rank long, origin_num decimal(38,0), denominator decimal(38,0)"
 
 
 def build_levels(runs: DataFrame, epsilon: int) -> DataFrame:
     """Segments of every level of (level, key).
 
-    Geometry is sequential within a level, so levels are what runs in parallel.
-    The keys of a level stream through in order, in batches: the open hull is
-    all that is held, never the run.
+    Where a segment begins depends on all keys before it, so a level is one task's
+    work; levels run in parallel.  The keys of a level stream through in order, in
+    batches, and segments leave with the batch that closes them: the open hull is all
+    that is held, never the run or its segments.
     """
     rows = runs.select(F.col("level").cast("int").alias("level"), F.col("key").cast("long").alias("key"))
+    sizes = rows.groupBy("level").agg(F.count("*").alias("n"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level, builder = None, None
+        level, builder, number = None, None, 0
         for pdf in batches:
             out = []
             for lv, key in zip(pdf["level"].tolist(), pdf["key"].tolist(), strict=True):
                 if lv != level:
-                    out += finish(level, builder)
-                    level, builder = lv, IndexBuilder(epsilon)
+                    out += of(level, number, builder.index().segments if builder else [])
+                    level, builder, number = lv, IndexBuilder(epsilon), 0
                 builder.add(key)
+            if builder is not None:
+                closed = builder.drain()
+                out += of(level, number, closed)
+                number += len(closed)
             if out:
                 yield table(out)
         if builder is not None:
-            yield table(finish(level, builder))
+            yield table(of(level, number, builder.index().segments))
 
-    def finish(level: int | None, builder: IndexBuilder | None) -> list[tuple]:
-        if builder is None:
-            return []
-        index = builder.index()
-        return [(level, epsilon, i, s.start_key, s.start_rank, s.slope_num, s.slope_den, s.intercept, s.end_key, s.end_rank, s.origin_num, s.denominator, index.n) for i, s in enumerate(index.segments)]
+    def of(level: int | None, first: int, segments: list[Segment]) -> list[tuple]:
+        return [(level, epsilon, first + i, s.start_key, s.start_rank, s.slope_num, s.slope_den, s.intercept, s.end_key, s.end_rank, s.origin_num, s.denominator) for i, s in enumerate(segments)]
 
     names = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
     wide = {"start_key", "slope_num", "slope_den", "intercept", "end_key", "origin_num", "denominator"}
@@ -218,29 +232,52 @@ def build_levels(runs: DataFrame, epsilon: int) -> DataFrame:
 
         return pd.DataFrame([[Decimal(v) if c in wide else v for c, v in zip(names, r, strict=True)] for r in out], columns=names)
 
-    return rows.repartition("level").sortWithinPartitions("level", "key").mapInPandas(work, SEGMENT_SCHEMA)
+    found = rows.repartition("level").sortWithinPartitions("level", "key").mapInPandas(work, SEGMENT_SCHEMA)
+    return found.join(F.broadcast(sizes), "level").select(*names, "n")  # a row for each level
 
 
-def search_rows(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """level, key, pos, lo, hi for queries (level, key); the segments (few and measured) are read once on the driver."""
-    found: dict[int, list] = {}
-    epsilon = 0
-    for r in segments.orderBy("level", "segment").toLocalIterator():
-        found.setdefault(r["level"], []).append((Segment(*(int(r[c]) for c in ("start_key", "start_rank", "slope_num", "slope_den", "intercept", "end_key", "end_rank", "origin_num", "denominator"))), r["n"]))
-        epsilon = r["epsilon"]
-    indexes = {lv: Index(epsilon, s[0][1], [x for x, _ in s], s[-1][0].end_key) for lv, s in found.items()}
+def index_of(segments: DataFrame, epsilon: int) -> Index:
+    """The segments of one level as an index on the driver, for lookups key by key."""
+    rows = segments.orderBy("segment").collect()
+    found = [Segment(*(int(r[c]) for c in ("start_key", "start_rank", "slope_num", "slope_den", "intercept", "end_key", "end_rank", "origin_num", "denominator"))) for r in rows]
+    return Index(epsilon, rows[0]["n"] if rows else 0, found, found[-1].end_key if found else None)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [indexes.get(lv, Index(epsilon, 0, [])).search(k) for lv, k in zip(pdf["level"].tolist(), pdf["key"].tolist(), strict=True)]
-            yield pdf.assign(pos=[g[0] for g in got], lo=[g[1] for g in got], hi=[g[2] for g in got])
 
-    return queries.select(F.col("level").cast("int").alias("level"), F.col("key").cast("long").alias("key")).mapInPandas(work, "level int, key long, pos long, lo long, hi long")
+def search_rows(queries: DataFrame, segments: DataFrame) -> DataFrame:
+    """level, key, pos, lo, hi for queries (level, key).
+
+    Keys meet the segments in ranges of the key; segments are no larger a table than the
+    run, and none of them passes through the driver.  Lines are followed in decimals of
+    38 digits: ranks of up to 18 digits times keys of up to 20.
+    """
+    asked = queries.select(F.col("level").cast("int").alias("level"), F.col("key").cast("long").alias("key"))
+    starts = segments.select("level", F.col("start_key").cast("long").alias("key"))
+    at = rightmost(asked.distinct(), starts, ("level",)).select("level", "key", F.col("at").alias("segment"))
+    follows = segments.select("level", (F.col("segment") - 1).alias("segment"), F.col("intercept").alias("next_intercept"))
+    found = at.join(segments.drop("n", "epsilon"), ["level", "segment"], "left").join(follows, ["level", "segment"], "left")
+    sizes = segments.groupBy("level").agg(F.max("n").alias("n"), F.max("epsilon").alias("epsilon"), F.max(F.col("end_key")).alias("last_key"))
+    found = found.join(F.broadcast(sizes), "level", "left")  # a row for each level
+    key = F.col("key").cast("decimal(20,0)")
+    cap = F.coalesce("next_intercept", F.col("n").cast("decimal(38,0)"))
+    line = F.expr("slope_num * CAST(CAST(key AS decimal(20,0)) - CAST(start_key AS decimal(20,0)) AS decimal(20,0))")
+    beyond = line >= F.expr("slope_den * CAST(coalesce(next_intercept, CAST(n AS decimal(38,0))) - intercept + 1 AS decimal(19,0))")
+    followed = F.when(beyond, cap).otherwise(F.least(F.greatest(F.lit(0), F.when(~beyond, F.expr(LINE)) + F.col("intercept")), cap))
+    pos = F.when(F.col("n").isNull() | F.col("start_key").isNull(), 0).when(key > F.col("last_key"), F.col("n")).otherwise(F.least(F.greatest(followed, F.lit(0)), F.col("n")))
+    found = found.select("level", "key", pos.cast("long").alias("pos"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("epsilon", F.lit(0)).alias("epsilon"))
+    found = found.select("level", "key", "pos", F.greatest(F.lit(0), F.col("pos") - F.col("epsilon")).cast("long").alias("lo"), F.least("n", F.col("pos") + F.col("epsilon") + 2).cast("long").alias("hi"))
+    return asked.join(found, ["level", "key"])
+
+
+# the whole quotient of a line that ends below its cap
+LINE = "CAST((slope_num * CAST(CAST(key AS decimal(20,0)) - CAST(start_key AS decimal(20,0)) AS decimal(20,0))) div slope_den AS decimal(20,0))"
 
 
 def band_violations(ranked_runs: DataFrame, segments: DataFrame, epsilon: int) -> DataFrame:
-    """Keys whose rank is off the certified line by more than epsilon, by exact decimals."""
-    s = segments.select(F.col("level").alias("of"), "start_key", "start_rank", "end_rank", "slope_num", "origin_num", "denominator")
-    joined = ranked_runs.join(F.broadcast(s), (F.col("level") == F.col("of")) & F.col("rank").between(F.col("start_rank"), F.col("end_rank")))
-    line = F.expr("slope_num * CAST(key - CAST(start_key AS bigint) AS decimal(19,0)) + origin_num")
+    """Keys whose rank is off the certified line by more than epsilon, by exact decimals; ranks meet the segments in ranges."""
+    rows = ranked_runs.select(F.col("level").cast("int").alias("level"), "key", "rank")
+    at = rightmost(rows.select("level", F.col("rank").alias("key")), segments.select("level", F.col("start_rank").alias("key")), ("level",))
+    at = at.select("level", F.col("key").alias("rank"), F.col("at").alias("segment"))
+    s = segments.select("level", "segment", "start_key", "slope_num", "origin_num", "denominator")
+    joined = rows.join(at, ["level", "rank"]).join(s, ["level", "segment"])
+    line = F.expr("slope_num * CAST(CAST(key AS decimal(20,0)) - CAST(start_key AS decimal(20,0)) AS decimal(20,0)) + origin_num")
     return joined.where((F.expr(f"CAST(greatest(0, rank - {epsilon}) AS decimal(19,0)) * denominator") > line) | (line > F.expr(f"CAST(rank + {epsilon} AS decimal(19,0)) * denominator"))).select("level", "key", "rank")

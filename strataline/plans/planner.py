@@ -1,8 +1,9 @@
 """Bin planning: capacity, sampled loads, noisy prefix sums, and the fetch order of a merge.
 
-Small sequential mathematics runs on the driver with seeded generators, one
-stream for each purpose; everything that touches blocks or records is a
-DataFrame plan.  No privacy guarantee is claimed for any of it.
+Capacities and the noise on prefix sums are sequential mathematics on the driver,
+with seeded generators, one stream for each purpose; everything that has a row for
+each bin, block or record is a DataFrame plan, whose draws are hashes of the seed,
+the purpose and the bin.  No privacy guarantee is claimed for any of it.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The names that separate the random streams of one seed
-LOADS, LAPLACE = "swat-m-block/geometric-loads", "swat-m-block/laplace-prefix"
-INTERIOR = {"source": "swat-m-block/interior/source", "target": "swat-m-block/interior/target"}
+from strataline.operators.merge import check_levels
+from strataline.operators.runs import ranked, running_total
+
+# the names that separate the random streams of one seed
+LOADS, LAPLACE = "bin loads", "prefix noise"
+INTERIOR = {"source": "interior of the source", "target": "interior of the target"}
 UINT32 = 2**32 - 1
 
 
@@ -216,13 +220,30 @@ def bins(spark: SparkSession, plan: Allocation) -> DataFrame:
     return bin_intervals(spark.createDataFrame([(i, x) for i, x in enumerate(plan.loads)], "bin_index long, sampled_load long"), plan.blocks, plan.capacity)
 
 
-def bin_intervals(loads: DataFrame, blocks: int, capacity: int) -> DataFrame:
+def uniform(seed: int, domain: str, of: Column) -> Column:
+    """A number in [0, 1) for each value, always the same for a seed and a purpose."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}|{domain}"), of), 11) / F.lit(float(1 << 53))
+
+
+def drawn_loads(spark: SparkSession, blocks: int, cfg: PlanConfig) -> DataFrame:
+    """bin_index, sampled_load of a run of any length; raises where the loads hold fewer blocks than it has."""
+    z = bin_capacity(cfg)
+    sums = list(accumulate(weights(z, cfg.privacy_epsilon)))
+    u = uniform(cfg.seed, LOADS, F.col("id")) * sums[-1]
+    load = F.least(F.size(F.filter(F.array(*map(F.lit, sums)), lambda w: w <= u)), F.lit(z))
+    found = spark.range(bin_count(factor(z, cfg), blocks)).select(F.col("id").alias("bin_index"), load.cast("long").alias("sampled_load"))
+    held = found.agg(F.coalesce(F.sum("sampled_load"), F.lit(0))).first()[0]
+    if held < blocks:
+        raise ShortCapacity(blocks, held)
+    return found
+
+
+def bin_intervals(loads: DataFrame, blocks: int | Column, capacity: int) -> DataFrame:
     """Rank interval, real and padding count of each bin: loads are filled in order until the run ends."""
-    ahead = Window.partitionBy(F.lit(0)).orderBy("bin_index").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bin
-    start = F.least(F.coalesce(F.sum("sampled_load").over(ahead), F.lit(0)), F.lit(blocks))
-    rows = loads.withColumn("rank_start", start.cast("long"))
-    real = F.least(F.col("sampled_load"), F.lit(blocks) - F.col("rank_start"))
-    rows = rows.withColumn("real_count", real.cast("long"))
+    blocks = F.lit(blocks) if isinstance(blocks, int) else blocks
+    rows = running_total(loads, "bin_index", "sampled_load", "__before")
+    rows = rows.withColumn("rank_start", F.least(F.col("__before"), blocks).cast("long"))
+    rows = rows.withColumn("real_count", F.least(F.col("sampled_load"), blocks - F.col("rank_start")).cast("long"))
     return rows.select("bin_index", "sampled_load", "rank_start", (F.col("rank_start") + F.col("real_count")).alias("rank_stop"), "real_count", (F.lit(capacity) - F.col("real_count")).cast("long").alias("dummy_count"))
 
 
@@ -242,40 +263,93 @@ def interior_index(load: int, epsilon: float, u: float) -> int:
     return min(bisect_right(list(accumulate(ws)), u * math.fsum(ws)), load - 1)
 
 
-def interior_points(bound: DataFrame, planned: DataFrame, side: str, cfg: PlanConfig, pick: Callable[[int, float], int] | None = None) -> DataFrame:
+def picked_index(load: Column, epsilon: float, u: Column) -> Column:
+    """``interior_index`` as a column; a bin holds at most its capacity, which bounds the weights of a row."""
+    top = F.floor(load / 2)
+    ws = F.transform(F.sequence(F.lit(0).cast("long"), load - 1), lambda i: F.exp(F.lit(epsilon) * (F.least(i, load - i) - top)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
+    whole = F.aggregate(ws, F.lit(0.0), lambda a, w: a + w)
+    step = lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["below"] + F.when(a["sum"] + w <= u * whole, 1).otherwise(0)).cast("long").alias("below"))
+    return F.least(F.aggregate(ws, start, step, lambda a: a["below"]), load - 1)
+
+
+def interior_points(bound: DataFrame, planned: DataFrame, side: str, cfg: PlanConfig, pick: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """side, bin_index, is_dummy, key, record_index, signed_tag: one point for each bin.
 
-    One draw is made for each non-empty bin, in bin order; ``pick`` (records,
+    Each bin has a draw of its own; ``pick`` (columns of the records of a bin and of the
     uniform draw) replaces the choice.  Bins without records get the dummy.
     """
-    spark = bound.sparkSession
     place = Window.partitionBy("bin_index").orderBy("key")
     records = bound.select("bin_index", "key", (F.row_number().over(place) - 1).cast("long").alias("record_index"))
-    rng = stream(cfg.seed, INTERIOR[side])
-    chosen = []
-    for r in records.groupBy("bin_index").count().orderBy("bin_index").toLocalIterator():  # one row for each bin
-        u = rng.random()
-        chosen.append((r["bin_index"], pick(r["count"], u) if pick else interior_index(r["count"], cfg.privacy_epsilon, u)))
-    wanted = spark.createDataFrame(chosen, "bin_index long, record_index long")
+    u = uniform(cfg.seed, INTERIOR[side], F.col("bin_index"))
+    choose = pick or (lambda n, x: picked_index(n, cfg.privacy_epsilon, x))
+    wanted = bound.groupBy("bin_index").agg(F.count("*").alias("n")).select("bin_index", choose(F.col("n"), u).cast("long").alias("record_index"))
     found = planned.select("bin_index").join(records.join(wanted, ["bin_index", "record_index"]), "bin_index", "left")
     tag = (F.col("bin_index") + 1) * (1 if side == "source" else -1)
     return found.select(F.lit(side).alias("side"), "bin_index", F.col("key").isNull().alias("is_dummy"), "key", "record_index", tag.cast("long").alias("signed_tag"))
 
 
 def tag_order(points: DataFrame) -> DataFrame:
-    """Adds position: by key, dummies last, and by signed tag within equals (so targets lead)."""
-    order = Window.partitionBy(F.lit(0)).orderBy("is_dummy", "key", "signed_tag")  # one row for each bin
-    return points.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    """Adds position: by key, dummies last, and by signed tag within equals (so targets lead).
+
+    A side has a key once at most, so key and side give one place; no window holds all bins.
+    """
+    at = F.when(F.col("is_dummy"), F.col("signed_tag").cast("decimal(38,0)")).otherwise(F.col("key").cast("decimal(20,0)") * 2 + (F.col("signed_tag") > 0).cast("int"))
+    rows = ranked(points.withColumn("__at", at), "__at", ("is_dummy",))
+    real = points.where("NOT is_dummy").count()
+    return rows.withColumn("position", (F.col("rank") + F.when(F.col("is_dummy"), real).otherwise(0)).cast("long")).drop("rank", "__at")
 
 
 def fetch_order(ordered: DataFrame) -> DataFrame:
     """fetch_no, side, bin_index: first bin 0 of each side, then at the k-th tag of a side its bin k, if there is one."""
-    nth = F.row_number().over(Window.partitionBy("side").orderBy("position"))
-    bins_of = F.count("*").over(Window.partitionBy("side"))
-    first = ordered.groupBy("side").agg(F.lit(0).cast("long").alias("bin_index")).select("side", "bin_index", F.when(F.col("side") == "source", -2).otherwise(-1).cast("long").alias("at"))
-    rest = ordered.select("side", nth.cast("long").alias("bin_index"), F.col("position").alias("at"), bins_of.alias("n")).where("bin_index < n").drop("n")
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1
-    return first.unionByName(rest).select(number.cast("long").alias("fetch_no"), "side", "bin_index")
+    bins_of = ordered.groupBy("side").agg(F.count("*").alias("n"))  # two rows
+    first = bins_of.select("side", F.lit(0).cast("long").alias("bin_index"), F.when(F.col("side") == "source", -2).otherwise(-1).cast("long").alias("at"))
+    rest = ranked(ordered, "position", ("side",)).join(F.broadcast(bins_of), "side")
+    rest = rest.select("side", (F.col("rank") + 1).alias("bin_index"), F.col("position").alias("at"), "n").where("bin_index < n").drop("n")
+    return ranked(first.unionByName(rest), "at").select(F.col("rank").alias("fetch_no"), "side", "bin_index")
+
+
+@dataclass(frozen=True)
+class MergePlan:
+    """How a level is merged into the next one: both sides' bins, points and the order in which bins are fetched."""
+
+    source_level: int
+    target_level: int
+    source_bins: DataFrame
+    target_bins: DataFrame
+    points: DataFrame
+    fetches: DataFrame
+
+
+def merge_plan(source_level: int, source: DataFrame, target_level: int, target: DataFrame, per_block: int, cfg: PlanConfig) -> MergePlan:
+    """The whole plan of two packed runs (key, block_rank) of one block size; only level L and L + 1 merge."""
+    check_levels(source_level, target_level)
+    planned, parts = {}, []
+    for side, run in (("source", source), ("target", target)):
+        blocks, fullest = run.groupBy("block_rank").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("block_rank") + 1, F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if fullest > per_block:
+            raise PlanError(f"a block of the {side} holds {fullest} records, not {per_block} at most")
+        planned[side] = bin_intervals(drawn_loads(run.sparkSession, blocks, cfg), blocks, bin_capacity(cfg))
+        parts.append(interior_points(bind(run, planned[side]), planned[side], side, cfg))
+    points = tag_order(parts[0].unionByName(parts[1]))
+    return MergePlan(source_level, target_level, planned["source"], planned["target"], points, fetch_order(points))
+
+
+def plan_violations(planned: DataFrame, blocks: int, capacity: int) -> DataFrame:
+    """bin_index, fault: bins that overlap, leave a gap or exceed the capacity; bin_index -1 where blocks are left over."""
+    rows = planned.select("bin_index", "rank_start", "rank_stop", "real_count", "dummy_count")
+    after = rows.select((F.col("bin_index") - 1).alias("bin_index"), F.col("rank_start").alias("next_start"))
+    joined = rows.join(after, "bin_index", "left")
+    fault = F.when(F.expr("real_count < 0 OR dummy_count < 0 OR rank_stop - rank_start <> real_count"), "count").when(F.expr(f"real_count + dummy_count <> {capacity}"), "capacity")
+    fault = fault.when(F.expr(f"coalesce(next_start, {blocks}) <> rank_stop"), "gap or overlap")
+    return joined.select("bin_index", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def fetch_violations(fetches: DataFrame, points: DataFrame) -> DataFrame:
+    """side, bin_index, times of bins that are not fetched exactly once."""
+    wanted = points.select("side", "bin_index").distinct()
+    seen = fetches.groupBy("side", "bin_index").agg(F.count("*").alias("times"))
+    return wanted.join(seen, ["side", "bin_index"], "full_outer").select("side", "bin_index", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1")
 
 
 def totals(planned: DataFrame, capacity: int) -> DataFrame:

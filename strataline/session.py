@@ -1,4 +1,4 @@
-"""Sending this package to the executors."""
+"""Sending this package to the executors, and cutting lineages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(archive))
     _sent.add(context.applicationId)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once: a checkpoint in ``spark.checkpoint.dir``; kept on the executors' disks where none is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

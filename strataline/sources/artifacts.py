@@ -157,8 +157,11 @@ def metrics(spark: SparkSession, doc: dict) -> dict:
     per = observe.operation_metrics(ops, events)
     return {
         "source_schema_version": doc["source_schema_version"], "equality_channel": "M0", "summary": doc["summary"], "operations": rows(per, "op_index"),
+        "slots": rows(observe.slot_lists(ops, events), "op_index"), "distinct_slot_histogram": rows(observe.histogram(per.where("class = 'QUERY'"), "distinct_slots"), "key"),
+        "operation_kinds": rows(observe.class_counts(ops), "class"), "hotness_histogram": rows(observe.histogram(observe.hotness(asked), "query_count"), "key"),
+        "adjacency_histogram": rows(observe.histogram(observe.steps(asked), "diff"), "key"),
         "trace_length_histogram": rows(observe.histogram(per.where("class = 'QUERY'"), "event_count"), "key"),
-        "pairs": observe.pair_summary(observe.pairs(queries, asked)).first().asDict(), "hotness": rows(observe.hotness(asked), "slot_id"),
+        "pairs": observe.pair_summary(queries, asked).first().asDict(), "hotness": rows(observe.hotness(asked), "slot_id"),
         "adjacency": rows(observe.adjacency(asked), "op_index"), "merges": rows(observe.merge_metrics(ops, events), "op_index"),
     }
 

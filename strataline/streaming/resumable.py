@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataline.operators import merge, runs
 from strataline.plans.pgm import IndexBuilder
+from strataline.session import settled
 
 
 class NotDone(RuntimeError):
@@ -33,9 +34,10 @@ class ResumableMerge:
     def __init__(self, source_level: int, source: DataFrame, target_level: int, target: DataFrame, capacity: int, sink: Callable[[DataFrame], None] | None = None):
         merge.check_levels(source_level, target_level)
         self.capacity, self.sink = capacity, sink
-        self.states = merge.cursors(merge.newer_wins(source, target), capacity, 1)
-        self.records = runs.packed(runs.ranked(merge.newer_wins(source, target)), capacity)
-        self.total = self.records.count()
+        # merged once: every step reads the same table
+        self.states = settled(merge.cursors(merge.newer_wins(source, target), capacity, 1, ("value", "rank")))
+        self.records = runs.packed(self.states.select("key", "value", "rank"), capacity)
+        self.total = self.states.count()
         self.decided = self.emitted = 0
 
     @property
@@ -71,16 +73,18 @@ OUT = "level int, n long, segments long, hull_points long"
 def stream_index(keys: DataFrame, epsilon: int) -> DataFrame:
     """level, n, segments, hull_points after each micro-batch of a stream of (level, key).
 
-    Keys of a level must rise from batch to batch; within one they are sorted.
+    Keys of a level must rise from batch to batch; within one they are sorted, in the
+    memory of a task: ``maxFilesPerTrigger`` and its like bound a batch.  The state is
+    the open hull and a count of closed segments, whatever has streamed through.
     """
 
     def step(level: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        builder = pickle.loads(state.get[0]) if state.exists else IndexBuilder(epsilon)
+        builder, closed = pickle.loads(state.get[0]) if state.exists else (IndexBuilder(epsilon), 0)
         for k in sorted(k for pdf in batches for k in pdf["key"].tolist()):
             builder.add(k)
-        segments = builder.index().segments
-        state.update((pickle.dumps(builder),))
-        yield pd.DataFrame({"level": [level[0]], "n": [builder.n], "segments": [len(segments)], "hull_points": [builder.open.state_points]})
+        closed += len(builder.drain())
+        state.update((pickle.dumps((builder, closed)),))
+        yield pd.DataFrame({"level": [level[0]], "n": [builder.n], "segments": [closed + (builder.n > 0)], "hull_points": [builder.open.state_points]})
 
     rows = keys.select(F.col("level").cast("int").alias("level"), F.col("key").cast("long").alias("key"))
     return rows.groupBy("level").applyInPandasWithState(step, OUT, "builder binary", "update", GroupStateTimeout.NoTimeout)

@@ -41,21 +41,22 @@ def test_validators_find_the_planted_faults(spark, small):
         assert not catalogue.queries()[name](spark, small).isEmpty()
 
 
-def test_whole_runs_are_bound_and_ordered(spark):
-    d, q = "/root/testdata/sf0.01", catalogue.queries()
-    bins = {}
-    for side, run in (("source", catalogue.newer), ("target", catalogue.older)):
-        keys = sorted(r["key"] for r in run(spark, d).select("key").collect())
-        loads = catalogue.planner.allocate(-(-len(keys) // 4), catalogue.WHOLE).loads
-        of_block = [i for i, x in enumerate(loads) for _ in range(x)]
-        bins[side] = {i: [] for i in range(len(loads))}
+def test_composed_plan_fetches_every_bin_once_and_covers_whole_runs(spark):
+    d, cfg = "/root/testdata/sf0.01", catalogue.planner.PlanConfig(seed=3)
+    packed = {s: catalogue.runs.packed(catalogue.runs.ranked(r(spark, d)), 4) for s, r in (("source", catalogue.newer), ("target", catalogue.older))}
+    plan = catalogue.planner.merge_plan(3, packed["source"], 4, packed["target"], 4, cfg)
+    z, bins = catalogue.planner.bin_capacity(cfg), {}
+    for side, table in (("source", plan.source_bins), ("target", plan.target_bins)):
+        keys = sorted(r["key"] for r in packed[side].select("key").collect())
+        blocks = -(-len(keys) // 4)
+        assert catalogue.planner.plan_violations(table, blocks, z).isEmpty()
+        of_block = [r["bin_index"] for r in sorted(table.collect()) for _ in range(r["real_count"])]
+        assert len(of_block) == blocks
+        bins[side] = {r["bin_index"]: [] for r in table.collect()}
         for i, k in enumerate(keys):
             bins[side][of_block[i // 4]].append(k)
-    bound = {r["key"]: r["bin_index"] for r in q["bin_bind_all"](spark, d).collect()}
-    assert len(bound) > 4 * catalogue.BLOCKS
-    assert bound == {k: b for b, ks in bins["source"].items() for k in ks}
-    rows = sorted(q["tag_order_all"](spark, d).collect(), key=lambda r: r["position"])
-    assert {(r["side"], r["bin_index"]) for r in rows} == {(s, b) for s, x in bins.items() for b in x} and len(rows) == sum(map(len, bins.values()))
+    rows = sorted(plan.points.collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(len(rows))) and {(r["side"], r["bin_index"]) for r in rows} == {(s, b) for s, x in bins.items() for b in x}
     assert all((not bins[r["side"]][r["bin_index"]]) if r["is_dummy"] else bins[r["side"]][r["bin_index"]][r["record_index"]] == r["key"] for r in rows)
     order = [(r["is_dummy"], r["key"] or 0, r["signed_tag"]) for r in rows]
     assert order == sorted(order)
@@ -64,8 +65,16 @@ def test_whole_runs_are_bound_and_ordered(spark):
         nth[r["side"]] += 1
         if nth[r["side"]] < len(bins[r["side"]]):
             want.append((r["side"], nth[r["side"]]))
-    assert [(r["side"], r["bin_index"]) for r in sorted(q["fetch_order_all"](spark, d).collect(), key=lambda r: r["fetch_no"])] == want
-    assert [tuple(r) for r in q["interior_membership_all"](spark, d).collect()] == [(sum(map(bool, bins["source"].values())), 0)]
+    assert [(r["side"], r["bin_index"]) for r in sorted(plan.fetches.collect(), key=lambda r: r["fetch_no"])] == want
+    assert catalogue.planner.fetch_violations(plan.fetches, plan.points).isEmpty()
+    with pytest.raises(catalogue.merge.MergeIdentity):
+        catalogue.planner.merge_plan(4, packed["source"], 4, packed["target"], 4, cfg)
+
+
+def test_segments_of_all_events_are_those_of_the_builder(spark, small):
+    keys = sorted(r["key"] for r in catalogue._event_keys(spark, small).collect())
+    want = [(i, s.start_rank, s.end_rank) for i, s in enumerate(catalogue.pgm.build(keys, catalogue.EPSILON).segments)]
+    assert sorted(map(tuple, catalogue.queries()["pgm_segments_events"](spark, small).collect())) == want
 
 
 def test_entry_needs_no_corpus_operators():
