@@ -58,8 +58,9 @@ class NearConfig:
     #: a block of a bucket holds about so many rows and characters at most
     block_rows: int = 256
     block_chars: int = 1 << 20
-    #: so many pairs share one copy of their head's text
-    hub_pairs: int = 4096
+    #: so many pairs share one copy of their head's text; heads with more are broadcast up to a number
+    hub_pairs: int = 256
+    broadcast_hubs: int = 200_000
 
     @property
     def registers(self) -> int:
@@ -229,13 +230,16 @@ def components(edges: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     """The pairs (a, b) that are linked.
 
-    b repeats, so its shingles are kept from pair to pair; a b of very many pairs is
+    b repeats, so its shingles are kept from pair to pair; a b of many pairs is
     salted, with a copy of its text for every ``hub_pairs`` of them.
     """
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / cfg.hub_pairs).cast("int").alias("salts"))
-    hubs = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(salts, "b").select("b", "text_b", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    both = left.drop("salts").join(hubs.drop("salts"), ["b", "salt"]).sortWithinPartitions("b").select("a", "b", "text_a", "text_b")
+    many = durable(pairs.groupBy("b").agg(F.ceil(F.count("*") / cfg.hub_pairs).cast("int").alias("salts")).where("salts > 1"), "hubs")
+    spread = F.broadcast(many) if many.count() <= cfg.broadcast_hubs else many
+    salts = F.coalesce("salts", F.lit(1))
+    hubs = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(spread, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = pairs.join(spread, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    left = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(hubs, ["b", "salt"]).sortWithinPartitions("b").select("a", "b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, last, last_set = Words(), None, None
