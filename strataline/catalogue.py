@@ -11,7 +11,7 @@ The driver's tables play the parts of runs and transcripts:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -208,6 +208,59 @@ def relocation_events(spark: SparkSession, d: str) -> DataFrame:
     return runs.relocate(*_moves(spark, d))[1].withColumn("seq", F.col("seq").cast("long"))
 
 
+@query(f"WITH {PACKED} SELECT key, rank FROM packed WHERE rank >= 300 AND rank < 1100")
+def rank_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a range of ranks, which crosses blocks."""
+    return runs.rank_slice(block_run(spark, d), 300, 1100).select("key", "rank")
+
+
+@query("WITH b AS (SELECT p_partkey // 3 AS block_id FROM part WHERE p_partkey % 5 < 2) SELECT block_id, count(*) AS count FROM b GROUP BY 1 HAVING count(*) > 1")
+def repeated_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return runs.repeated_blocks(table(spark, d, "part").where("p_partkey % 5 < 2").select(F.expr("p_partkey div 3").alias("block_id")))
+
+
+STORED = "b AS (SELECT p_partkey AS block_id FROM part), m AS (SELECT p_partkey AS block_id, p_partkey * 2 AS slot_id FROM part WHERE p_partkey % 7 <> 0), st AS (SELECT p_partkey * 2 AS slot_id, p_partkey + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS stored_id FROM part WHERE p_partkey % 13 <> 0)"
+
+
+@query(f"WITH {STORED} SELECT block_id, slot_id, fault FROM (SELECT b.block_id, m.slot_id, CASE WHEN m.slot_id IS NULL THEN 'unmapped' WHEN stored_id IS NULL THEN 'empty' WHEN stored_id <> b.block_id THEN 'other block' END AS fault FROM b LEFT JOIN m USING (block_id) LEFT JOIN st ON st.slot_id = m.slot_id) WHERE fault IS NOT NULL")
+def unstored_blocks(spark: SparkSession, d: str) -> DataFrame:
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    mapping = part.where(key % 7 != 0).select(key.alias("block_id"), (key * 2).alias("slot_id"))
+    stored = part.where(key % 13 != 0).select((key * 2).alias("slot_id"), (key + F.when(key % 11 == 0, 1).otherwise(0)).alias("stored_id"))
+    return runs.unstored_blocks(part.select(key.alias("block_id")), mapping, stored)
+
+
+@query(f"""WITH {FAULTY}, l AS (SELECT rank, key, lag(key) OVER (ORDER BY rank) AS before FROM faulty), g AS (SELECT rank // 65536 AS r, key, rank, lag(key) OVER (PARTITION BY rank // 65536 ORDER BY rank) AS inside FROM faulty),
+e AS (SELECT r, min(key) AS lo, max(key) AS hi FROM g GROUP BY r), s AS (SELECT lag(hi) OVER (ORDER BY r) AS before, lo FROM e)
+SELECT 'order' AS "check", (SELECT count(*) FROM g WHERE inside >= key) AS count UNION ALL SELECT 'order across ranges', (SELECT count(*) FROM s WHERE before >= lo) UNION ALL SELECT 'ranks', 0 UNION ALL SELECT 'capacity', 0 UNION ALL SELECT 'fullness', 0""")
+def canonical_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = block_run(spark, d).withColumn("key", F.when(F.col("rank") % 97 == 5, F.col("key") - 4).otherwise(F.col("key")))
+    return runs.canonical_violations(rows, CAPACITY)
+
+
+@query("""WITH a AS (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0), u AS (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b)
+SELECT l_suppkey, l_linenumber, sum(n)::BIGINT AS surplus FROM u GROUP BY ALL HAVING sum(n) <> 0""")
+def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda m: table(spark, d, "lineitem").where(f"l_orderkey % {m} = 0").select("l_suppkey", "l_linenumber")
+    return runs.multiset_difference(part(2), part(3))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o_custkey, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT o_custkey, 'unexpected' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def set_difference(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda m: table(spark, d, "orders").where(f"o_orderkey % {m} = 0")
+    return runs.missing_and_unexpected(part(2), part(3), "o_custkey")
+
+
+@query(f"""WITH {PACKED}, more AS (SELECT b.block_rank, n.k AS key FROM (SELECT DISTINCT block_rank FROM packed) b, (SELECT unnest([-1, -2]) AS k) n WHERE b.block_rank % 2 = 0), sz AS (SELECT block_rank, count(*) AS n FROM packed GROUP BY 1)
+SELECT m.block_rank, m.key, 'full' AS fault FROM more m JOIN sz USING (block_rank) WHERE n + 2 > {CAPACITY}""")
+def block_insert_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Two records for every other block: full blocks refuse them."""
+    packed_blocks = runs.blocks(block_run(spark, d))
+    more = packed_blocks.where("block_rank % 2 = 0").select("block_rank", F.explode(F.array(F.lit(-1), F.lit(-2)).cast("array<bigint>")).alias("key"), F.lit("new").alias("value"))
+    return runs.insert(packed_blocks, more, CAPACITY)[1].select("block_rank", "key", "fault")
+
+
 # --- lookups --------------------------------------------------------------------------------
 
 
@@ -425,6 +478,14 @@ def op_metrics(spark: SparkSession, d: str) -> DataFrame:
     return observe.operation_metrics(operations(spark, d), events(spark, d))
 
 
+@query(f"""WITH {EVENTS}, again AS (SELECT op_index, slot_id FROM ev GROUP BY ALL HAVING count(*) > 1), r AS (SELECT op_index, string_agg(slot_id, ',' ORDER BY slot_id) AS repeated FROM again GROUP BY 1)
+SELECT op_index, string_agg(slot_id, ',' ORDER BY seq) AS sequence, coalesce(any_value(repeated), '') AS repeated FROM ev LEFT JOIN r USING (op_index) GROUP BY 1""")
+def slot_lists(spark: SparkSession, d: str) -> DataFrame:
+    found = observe.slot_lists(operations(spark, d), events(spark, d))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select("op_index", text("sequence").alias("sequence"), text("repeated_slot_ids").alias("repeated"))
+
+
 @query(f"WITH {OP_METRICS} SELECT event_count AS key, count(*) AS count FROM metrics WHERE class = 'QUERY' GROUP BY 1")
 def trace_length_hist(spark: SparkSession, d: str) -> DataFrame:
     return observe.histogram(op_metrics(spark, d).where("class = 'QUERY'"), "event_count")
@@ -502,12 +563,30 @@ def merge_prior_overlap(spark: SparkSession, d: str) -> DataFrame:
     return observe.prior_overlap(events(spark, d))
 
 
+@query(f"""WITH {RUNS}, lr AS (SELECT op_index, coalesce(max(length) FILTER (operation = 'READ'), 0) AS longest_read_run, coalesce(max(length) FILTER (operation = 'WRITE'), 0) AS longest_write_run, count(*) AS run_count FROM rl GROUP BY 1),
+vol AS (SELECT op_index, count(*) AS event_count, count(DISTINCT slot_id) FILTER (operation = 'READ') AS read_slots, count(DISTINCT slot_id) FILTER (operation = 'WRITE') AS write_slots FROM ev WHERE class = 'MERGE' GROUP BY 1),
+first AS (SELECT slot_id, min(op_index) AS f FROM q GROUP BY 1), t AS (SELECT DISTINCT op_index, slot_id FROM ev WHERE class = 'MERGE'), pr AS (SELECT op_index, count(*) FILTER (f < op_index) AS prior FROM t LEFT JOIN first USING (slot_id) GROUP BY 1)
+SELECT op_index, event_count, read_slots, write_slots, longest_read_run, longest_write_run, run_count, prior FROM vol JOIN lr USING (op_index) JOIN pr USING (op_index)""")
+def merge_metrics(spark: SparkSession, d: str) -> DataFrame:
+    found = observe.merge_metrics(operations(spark, d), events(spark, d))
+    return found.select("op_index", "event_count", "read_slots", "write_slots", "longest_read_run", "longest_write_run", "run_count", "prior")
+
+
 @query("""WITH l AS (SELECT o_orderkey AS op_index, o_custkey AS key FROM orders), f AS (SELECT key, min(op_index) AS first FROM l GROUP BY 1), n AS (SELECT key, 'QClass' || (dense_rank() OVER (ORDER BY first) - 1) AS label FROM f)
 SELECT op_index, label FROM l JOIN n USING (key)""")
 def equality_classes(spark: SparkSession, d: str) -> DataFrame:
     return observe.equality_classes(table(spark, d, "orders").select(F.col("o_orderkey").alias("op_index"), F.col("o_custkey").alias("key")))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS op_index, o_custkey AS key FROM orders WHERE o_orderkey % 3 <> 0), f AS (SELECT key, min(op_index) AS first FROM l GROUP BY 1), n AS (SELECT key, 'QClass' || (dense_rank() OVER (ORDER BY first) - 1) AS label FROM f)
+SELECT op_index, label FROM l JOIN n USING (key)""")
+def labels_of_script(spark: SparkSession, d: str) -> DataFrame:
+    """Script and run are zipped by operation; queries alone get labels."""
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "MERGE").otherwise("QUERY")
+    script = table(spark, d, "orders").select(F.col("o_orderkey").alias("op_index"), kind.alias("kind"), F.col("o_custkey").alias("key"))
+    return observe.labels_of_script(script, script.select("op_index", F.col("kind").alias("class")))
+
+
 @query(f"WITH {EVENTS} SELECT k.class, count(ops.op_index) AS operation_count FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in observe.CLASSES)}) k(class) LEFT JOIN ops ON ops.class = k.class GROUP BY 1")
 def op_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return observe.class_counts(operations(spark, d))
@@ -658,16 +737,27 @@ def load_trace(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_trace(spark, SIZES, PROFILE)
 
 
-@query()
+# Windows, keys and the probes, reads and places that the profile's search must come to
+GOLDEN = (
+    (0, 10, 1025, (5, 7, 8, 9, 9), (0,), 10, False), (14, 30, 1025, (22, 26, 24, 25, 24), (0, 1), 25, True), (2, 20, 1025, (11, 15, 17, 18, 19, 19), (0, 1), 20, False),
+    (5, 40, 1025, (22, 31, 26, 24, 25, 25, 24), (0, 1, 2), 25, True), (0, 64, 1005, (32, 16, 8, 4, 6, 5, 4), (1, 2, 3, 0), 5, True), (25, 26, 1026, (25,), (1,), 26, True),
+)
+
+
+def _listed(x: Iterable[int]) -> str:
+    return ",".join(map(str, x))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({lo}::BIGINT, {hi}::BIGINT, {key}::BIGINT, '{_listed(p)}', '{_listed(r)}', {pos}::BIGINT, {found})" for lo, hi, key, p, r, pos, found in GOLDEN) + ") t(lo, hi, key, probes, reads, pos, found)")
 def profile_trace_golden(spark: SparkSession, d: str) -> DataFrame:
-    """Probe-exact reads of a few lookups; pytest holds them against literal traces."""
+    """Probe-exact reads of a few lookups against the fixed traces."""
     keys = [1000 + r for r in range(64)]
     data = profile.LevelData(4, keys, [f"v{r}" for r in range(64)], 16, [0, 1, 2, 3], 0, None)
     rows = []
-    for lo, hi, key in ((0, 10, 1025), (14, 30, 1025), (2, 20, 1025), (5, 40, 1025), (0, 64, 1005), (17, 30, 1025), (60, 64, 1064)):
+    for lo, hi, key, *_ in GOLDEN:
         got = profile.search(data, key, lo, hi, True)
-        rows.append((lo, hi, key, got.probes, got.reads, got.pos, got.found))
-    return spark.createDataFrame(rows, "lo long, hi long, key long, probes array<long>, reads array<long>, pos long, found boolean")
+        rows.append((lo, hi, key, _listed(got.probes), _listed(got.reads), got.pos, got.found))
+    return spark.createDataFrame(rows, "lo long, hi long, key long, probes string, reads string, pos long, found boolean")
 
 
 def queries() -> dict[str, Query]:

@@ -24,10 +24,11 @@ def round_div(n: int, d: int) -> int:
     return trunc_div(n + half if (n < 0) == (d < 0) else n - half, d) if n else 0
 
 
+def sign(x: Column) -> Column:
+    """1 or -1; 0 counts as positive."""
+    return F.when(x >= 0, 1).otherwise(-1)
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d rounded half to even at six places; 0 where d is 0."""
     return F.when(d == 0, F.lit(0.0)).otherwise(F.bround(n.cast("double") / F.nullif(d.cast("double"), F.lit(0.0)), 6))
-
-
-def tagged(tag: str, key: Column) -> Column:
-    return F.concat_ws(":", F.lit(tag), key.cast("string"))

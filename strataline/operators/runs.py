@@ -33,6 +33,25 @@ def ingest(df: DataFrame, key: str = "key") -> DataFrame:
     return ranked(df, key)
 
 
+class UnsortedRun(ValueError):
+    pass
+
+
+def strict(df: DataFrame, position: str) -> DataFrame:
+    """A run whose order is given: raises where a key is not above the one before it, sorts nothing.
+
+    position: whole numbers from 0 without gaps.
+    """
+    rows = df.withColumn("__range", F.expr(f"{position} div {RANGE}"))
+    wrong = not_increasing(rows, position, ("__range",)).select(position)
+    ends = rows.groupBy("__range").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(position).alias(position))
+    seams = ends.withColumn("before", F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("__range"))).where("before >= lo").select(position)  # a row for each range
+    found = wrong.unionByName(seams).orderBy(position).head()
+    if found is not None:
+        raise UnsortedRun(f"the key at {found[0]} is not above the one before it")
+    return df.withColumn("rank", F.col(position).cast("long"))
+
+
 def range_of(df: DataFrame, key: str, buckets: int | None = None) -> tuple[Column, list[float]]:
     """A column that numbers ranges of the key in order, of about equal sizes, and the cuts between them."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -219,6 +238,25 @@ def block_records(run: DataFrame, block_rank: int) -> DataFrame:
     return run.where(F.col("block_rank") == block_rank)
 
 
+def slot_owners(slots: DataFrame, mapping: DataFrame) -> DataFrame:
+    """slot_id, block_id, in_use."""
+    found = slots.select("slot_id").distinct().join(mapping, "slot_id", "left")
+    return found.select("slot_id", "block_id", F.col("block_id").isNotNull().alias("in_use"))
+
+
+def assign(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The mapping with more pairs (block_id, slot_id); a pair that it has already changes nothing, a conflict raises."""
+    out = mapping.select("block_id", "slot_id").unionByName(pairs.select("block_id", "slot_id")).distinct()
+    wrong = mapping_violations(out).head()
+    if wrong is not None:
+        raise ValueError(f"{wrong['kind']} {wrong['id']} would be in {wrong['count']} pairs")
+    return out
+
+
+def unassign(mapping: DataFrame, blocks: DataFrame) -> DataFrame:
+    return mapping.join(blocks.select("block_id").distinct(), "block_id", "left_anti")
+
+
 def relocate(mapping: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The mapping after the moves (block_id, new_slot), and their events: read old, write new, write old."""
     moved = mapping.join(moves, "block_id", "left").select("block_id", F.coalesce("new_slot", "slot_id").alias("slot_id"))

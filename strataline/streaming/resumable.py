@@ -61,6 +61,11 @@ class ResumableMerge:
         at = self.states.where(F.col("r") == self.decided).head() if self.decided else None
         return {"i": at["i"] if at else 0, "j": at["j"] if at else 0, "r": self.decided, "blocks": -(-self.emitted // self.capacity), "pending": self.decided - self.emitted, "done": self.done}
 
+    def state_report(self) -> dict:
+        """What is carried from step to step, and what bounds it."""
+        at = self.progress()
+        return {"pending": at["pending"], "pending_bound": self.capacity - 1, "cursors": 3, "bounded": at["pending"] < self.capacity}
+
     def finalize(self) -> DataFrame:
         if not self.done:
             raise NotDone(f"{self.total - self.decided} records are undecided")
