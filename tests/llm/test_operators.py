@@ -505,18 +505,3 @@ def test_next_document_wraps_over_many_ranges(spark):
         t = texts[i]
         want = t[: len(t) - len(t) // 2] + texts[after][: len(t) // 2]
         assert found[i] == hashlib.sha256(want.encode()).hexdigest()
-
-
-def test_pipeline_stages(spark, small):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, small)
-        assert out.columns == docs.columns, name
-        docs = near_dedup.durable(out, "test")
-        sizes.append(docs.count())
-    assert all(sizes)
-    packed = corpus_pipeline.run(spark, small)
-    assert packed.select("doc_id", "piece").distinct().count() <= packed.count()
