@@ -48,6 +48,7 @@ class LanguageConfig:
     #: up to so many languages, embeddings and softmax are folded into one table of logits
     folded: int = 64
     epochs: int = 4
+    least_steps: int = 2000  # a small sample is gone through more often
     step_grams: int = 1500
     rate: float = 8.0
     reject_rate: float = 0.001
@@ -139,8 +140,9 @@ def train(rows: list[tuple[np.ndarray, str]], cfg: LanguageConfig) -> LanguageMo
     calibration, training = [data[i] for i in order[:cut]], [data[i] for i in order[cut:]]
     emb = rng.normal(0, 1 / cfg.dim, (cfg.buckets, cfg.dim))
     out, bias = np.zeros((cfg.dim, len(labels))), np.zeros(len(labels))
-    steps, done = cfg.epochs * len(training), 0
-    for _ in range(cfg.epochs):
+    epochs = max(cfg.epochs, -(-cfg.least_steps // len(training)))
+    steps, done = epochs * len(training), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(training)):
             ids, y = training[i]
             if len(ids) > cfg.step_grams:
