@@ -314,7 +314,7 @@ def lookup_trace(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    run = block_run(spark, d)
+    run = settled(block_run(spark, d))
     mapping = run.select("block_rank").distinct().select("block_rank", (F.col("block_rank") * 7 % 1009).alias("slot_id"))
     segments = settled(pgm.build_levels(run.select(F.lit(0).alias("level"), "key"), EPSILON))
     return store.indexed_lookup(keys_asked(spark, d), run, segments, mapping, CAPACITY)
@@ -429,7 +429,7 @@ TIMES = "k AS (SELECT epoch_us(ts) AS key FROM events), r AS (SELECT key, row_nu
 def pgm_search_contract(spark: SparkSession, d: str) -> DataFrame:
     """Every time and the microsecond after it, with its true lower bound, which lies in the index's window."""
     keys = _event_keys(spark, d)
-    wanted = keys.select("level", F.explode(F.array("key", F.col("key") + 1)).alias("key")).distinct()
+    wanted = settled(keys.select("level", F.explode(F.array("key", F.col("key") + 1)).alias("key")).distinct())
     found = pgm.search_rows(wanted, settled(pgm.build_levels(keys, EPSILON)))
     true = lookup.lower_bounds(wanted.select("key"), keys.select("key"))
     return found.join(true, "key").select("key", "lower_bound", F.expr(f"lower_bound BETWEEN lo AND hi AND hi - lo <= 2 * {EPSILON} + 2").alias("in_window"))
@@ -611,8 +611,8 @@ PLANNED = f"""{NEWER}, {OLDER}, rs AS (SELECT 'source' AS side, key, (row_number
 
 def _binned(run: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The run in small blocks, and bins for all of them, with loads that SQL can make too."""
-    packed = runs.packed(runs.ranked(run), BIN_BLOCK)
-    blocks = -(-run.count() // BIN_BLOCK)
+    packed = settled(runs.packed(runs.ranked(run), BIN_BLOCK))
+    blocks = -(-packed.count() // BIN_BLOCK)
     loads = run.sparkSession.range(blocks // 6 + 2).select(F.col("id").alias("bin_index"), F.expr("(id * 5 + 3) % 12 + 1").alias("sampled_load"))
     return packed, planner.bin_intervals(loads, blocks, BIN_CAPACITY)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators.merge import check_levels
 from strataline.operators.runs import ranked, running_total
+from strataline.session import settled
 
 # the names that separate the random streams of one seed
 LOADS, LAPLACE = "bin loads", "prefix noise"
@@ -294,6 +295,7 @@ def tag_order(points: DataFrame) -> DataFrame:
 
     A side has a key once at most, so key and side give one place; no window holds all bins.
     """
+    points = settled(points)  # a row for each bin, read several times below
     at = F.when(F.col("is_dummy"), F.col("signed_tag").cast("decimal(38,0)")).otherwise(F.col("key").cast("decimal(20,0)") * 2 + (F.col("signed_tag") > 0).cast("int"))
     rows = ranked(points.withColumn("__at", at), "__at", ("is_dummy",))
     real = points.where("NOT is_dummy").count()
@@ -302,6 +304,7 @@ def tag_order(points: DataFrame) -> DataFrame:
 
 def fetch_order(ordered: DataFrame) -> DataFrame:
     """fetch_no, side, bin_index: first bin 0 of each side, then at the k-th tag of a side its bin k, if there is one."""
+    ordered = settled(ordered)
     bins_of = ordered.groupBy("side").agg(F.count("*").alias("n"))  # two rows
     first = bins_of.select("side", F.lit(0).cast("long").alias("bin_index"), F.when(F.col("side") == "source", -2).otherwise(-1).cast("long").alias("at"))
     rest = ranked(ordered, "position", ("side",)).join(F.broadcast(bins_of), "side")
@@ -325,13 +328,13 @@ def merge_plan(source_level: int, source: DataFrame, target_level: int, target:
     """The whole plan of two packed runs (key, block_rank) of one block size; only level L and L + 1 merge."""
     check_levels(source_level, target_level)
     planned, parts = {}, []
-    for side, run in (("source", source), ("target", target)):
+    for side, run in (("source", settled(source)), ("target", settled(target))):
         blocks, fullest = run.groupBy("block_rank").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("block_rank") + 1, F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         if fullest > per_block:
             raise PlanError(f"a block of the {side} holds {fullest} records, not {per_block} at most")
         planned[side] = bin_intervals(drawn_loads(run.sparkSession, blocks, cfg), blocks, bin_capacity(cfg))
         parts.append(interior_points(bind(run, planned[side]), planned[side], side, cfg))
-    points = tag_order(parts[0].unionByName(parts[1]))
+    points = settled(tag_order(parts[0].unionByName(parts[1])))
     return MergePlan(source_level, target_level, planned["source"], planned["target"], points, fetch_order(points))
 
 

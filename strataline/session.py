@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_settled: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,11 +30,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once: a checkpoint in ``spark.checkpoint.dir``; kept on the executors' disks where none is set."""
+    """Computed once: a table in ``spark.checkpoint.dir`` until the driver ends; kept on the executors' disks where none is set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         return df.persist(StorageLevel.DISK_ONLY)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/strataline-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _settled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop() -> None:
+    for spark, path in _settled:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone by now
+            continue
