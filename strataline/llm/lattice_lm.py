@@ -73,7 +73,7 @@ class LatticeConfig:
     context_chars: int = 48
     #: an arc with less of a word's segmentations is not counted as a transition of its prefix
     least_share: float = 1e-3
-    block_words: int = 40_000
+    block_words: int = 24_000
     most_blocks: int = 4096
     shared_rows: int = 2_000_000
     folds: int = 5
@@ -225,7 +225,7 @@ class Lattice:
         return out
 
 
-def lattices(pieces: Pieces, words: list[bytes], chars: int = 1 << 18) -> Iterator[tuple[slice, Lattice]]:
+def lattices(pieces: Pieces, words: list[bytes], chars: int = 1 << 17) -> Iterator[tuple[slice, Lattice]]:
     """Lattices of parts of the words, with their start marks, of about so many characters."""
     texts = [MARK + w.decode("utf-8", "replace") for w in words]
     a = n = 0
