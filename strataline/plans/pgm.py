@@ -6,6 +6,9 @@ exists when the least slope that any pair of keys asks for is no greater than
 the greatest slope that any pair allows; both bounds are kept as the keys
 arrive, with the convex hulls of the lower and of the upper band ends, so a key
 costs the logarithm of the hull.  The line of the greatest slope is the model.
+The rank of a key that several rows have is that of the first of them, its lower bound;
+the key after it, where no row has it, is a point too, with the rank behind the last:
+all keys in the gap have that lower bound, which a line over one large step would miss.
 All arithmetic is on Python's integers, which do not overflow.
 """
 
@@ -40,7 +43,10 @@ def _slope(p: Point, q: Point) -> Point:
 
 @dataclass(frozen=True)
 class Segment:
-    """start_key, start_rank and the rounded line; the certificate is the unrounded line."""
+    """start_key, start_rank and the rounded line; the certificate is the unrounded line.
+
+    start_key may be the key after a repeated one.  end_key is a row's, end_rank that of its last row.
+    """
 
     start_key: int
     start_rank: int
@@ -134,17 +140,29 @@ class IndexBuilder:
     def __init__(self, epsilon: int):
         if isinstance(epsilon, bool) or not isinstance(epsilon, int) or epsilon < 0:
             raise ValueError(f"epsilon must be a whole number from 0, not {epsilon!r}")
-        self.epsilon, self.done, self.n, self.last = epsilon, [], 0, None
+        self.epsilon, self.done, self.n, self.last, self.copies = epsilon, [], 0, None, 0
         self.open = BandFitter(epsilon)
 
-    def add(self, key: int) -> None:
+    def add(self, key: int, copies: int = 1) -> None:
+        """Takes the key in, with the number of rows that have it."""
         if self.last is not None and key <= self.last:
             raise KeyOrder(f"key {key} after {self.last}")
-        if not self.open.add(key, self.n):
-            self.done.append(self.open.close())
-            self.open = BandFitter(self.epsilon)
-            self.open.add(key, self.n)
-        self.last, self.n = key, self.n + 1
+        if self.copies > 1 and key > self.last + 1:
+            end = self.open.last
+            if self._joins(self.last + 1, self.n):
+                self.open.last = end
+        self._joins(key, self.n)
+        self.open.last = (key, self.n + copies - 1)
+        self.last, self.copies, self.n = key, copies, self.n + copies
+
+    def _joins(self, key: int, rank: int) -> bool:
+        """Whether the open segment takes the point; else the point opens the next one."""
+        if self.open.add(key, rank):
+            return True
+        self.done.append(self.open.close())
+        self.open = BandFitter(self.epsilon)
+        self.open.add(key, rank)
+        return False
 
     def drain(self) -> list[Segment]:
         """The segments closed since the last call; the builder keeps the open one alone."""
@@ -193,7 +211,7 @@ SEGMENT_SCHEMA = "level int, epsilon int, segment int, start_key decimal(38,0),
 
 
 def build_levels(runs: DataFrame, epsilon: int) -> DataFrame:
-    """Segments of every level of (level, key).
+    """Segments of every level of (level, key); ``n`` counts its rows, and keys may be repeated.
 
     Where a segment begins depends on all keys before it, so a level is one task's
     work; levels run in parallel.  The keys of a level stream through in order, in
@@ -202,16 +220,17 @@ def build_levels(runs: DataFrame, epsilon: int) -> DataFrame:
     """
     rows = runs.select(F.col("level").cast("int").alias("level"), F.col("key").cast("long").alias("key"))
     sizes = rows.groupBy("level").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("level", "key").agg(F.count("*").alias("copies"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, builder, number = None, None, 0
         for pdf in batches:
             out = []
-            for lv, key in zip(pdf["level"].tolist(), pdf["key"].tolist(), strict=True):
+            for lv, key, copies in zip(pdf["level"].tolist(), pdf["key"].tolist(), pdf["copies"].tolist(), strict=True):
                 if lv != level:
                     out += of(level, number, builder.index().segments if builder else [])
                     level, builder, number = lv, IndexBuilder(epsilon), 0
-                builder.add(key)
+                builder.add(key, copies)
             if builder is not None:
                 closed = builder.drain()
                 out += of(level, number, closed)
@@ -232,7 +251,7 @@ def build_levels(runs: DataFrame, epsilon: int) -> DataFrame:
 
         return pd.DataFrame([[Decimal(v) if c in wide else v for c, v in zip(names, r, strict=True)] for r in out], columns=names)
 
-    found = rows.repartition("level").sortWithinPartitions("level", "key").mapInPandas(work, SEGMENT_SCHEMA)
+    found = counted.repartition("level").sortWithinPartitions("level", "key").mapInPandas(work, SEGMENT_SCHEMA)
     return found.join(F.broadcast(sizes), "level").select(*names, "n")  # a row for each level
 
 

@@ -93,3 +93,34 @@ def test_tables_of_keys_are_searched_as_single_keys(spark):
     assert builder.diagnostics()["active_span"] == len(runs[0]) - builder.open.first[1]
     wrong = pgm.band_violations(spark.createDataFrame([(0, k, i + (50 if i == 60 else 0)) for i, k in enumerate(runs[0])], "level int, key long, rank long"), pgm.build_levels(keys, epsilon), epsilon)
     assert [r["rank"] for r in wrong.collect()] == [110]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_repeated_keys_have_lower_bounds_in_their_windows(seed):
+    rng = random.Random(seed)
+    counts = {k: rng.choice([1, 1, 2, 3, 60]) for k in rng.sample(range(-40, rng.choice([10, 60, 3000])), rng.randint(1, 40))}
+    rows = sorted(k for k, n in counts.items() for _ in range(n))
+    epsilon = rng.choice([0, 1, 2, 5])
+    builder = pgm.IndexBuilder(epsilon)
+    for k in sorted(counts):
+        builder.add(k, counts[k])
+    index = builder.index()
+    for q in {q for k in counts for q in (k - 1, k, k + 1, k + 2)} | set(range(-45, 65)):
+        _, lo, hi = index.search(q)
+        assert lo <= bisect_left(rows, q) <= hi <= lo + 2 * epsilon + 2, q
+    for k in counts:
+        assert [s for s in index.segments if s.start_key <= k][-1].certifies(k, bisect_left(rows, k), epsilon)
+    ends = [(s.start_rank, s.end_rank, s.end_key) for s in index.segments]
+    assert ends[0][0] == 0 and ends[-1][1:] == (len(rows) - 1, rows[-1]) and all(b[0] == a[1] + 1 for a, b in zip(ends, ends[1:]))
+    assert all(rows[b] == key for _, b, key in ends)
+
+
+def test_tables_of_repeated_keys_are_built_as_single_keys(spark):
+    rows = [(lv, k) for lv in (0, 1) for k in range(0, 300, 3) for _ in range(1 + (k * 7 + lv) % 4)]
+    got = pgm.build_levels(spark.createDataFrame(rows, "level int, key long"), 1).orderBy("level", "segment").collect()
+    for lv in (0, 1):
+        builder = pgm.IndexBuilder(1)
+        for k in range(0, 300, 3):
+            builder.add(k, 1 + (k * 7 + lv) % 4)
+        index = builder.index()
+        assert [(r["start_key"], r["start_rank"], r["end_key"], r["end_rank"], r["n"]) for r in got if r["level"] == lv] == [(s.start_key, s.start_rank, s.end_key, s.end_rank, index.n) for s in index.segments]
