@@ -77,6 +77,23 @@ def test_segments_of_all_events_are_those_of_the_builder(spark, small):
     assert sorted(map(tuple, catalogue.queries()["pgm_segments_events"](spark, small).collect())) == want
 
 
+@pytest.fixture(scope="module")
+def again(small, tmp_path_factory):
+    """Events four times, every third of them once, so that times are repeated; other user and event ids."""
+    d = tmp_path_factory.mktemp("again")
+    duckdb.sql(f"COPY (SELECT event_id + 1000 * i AS event_id, ts, user_id + 15 * i AS user_id, event_type, value, props FROM '{small}/events.parquet', range(4) t(i) WHERE i = 0 OR event_id % 3 > 0) TO '{d}/events.parquet'")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["pgm_search_contract"])
+def test_query_equals_oracle_on_repeated_times(spark, again, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{again}/events.parquet'")
+    df, found = catalogue.queries()[name](spark, again), con.sql(catalogue.oracle_sql()[name])
+    at = [found.columns.index(c) for c in df.columns]
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+
+
 def test_entry_needs_no_corpus_operators():
     import __spark_entry__ as entry
 
