@@ -437,7 +437,7 @@ def pgm_search_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TIMES} SELECT key, rank, true AS certified FROM r")
 def pgm_certificate_band(spark: SparkSession, d: str) -> DataFrame:
-    """Every time with its rank, and whether its segment's certificate holds for it."""
+    """Every time with its rank, and whether its segment's certificate holds for it (for a repeated time: for its first rank, which the others follow)."""
     keys = _event_keys(spark, d)
     rows = runs.ranked(keys)
     wrong = pgm.band_violations(rows, settled(pgm.build_levels(keys, 8)), 8)

@@ -292,11 +292,14 @@ LINE = "CAST((slope_num * CAST(CAST(key AS decimal(20,0)) - CAST(start_key AS de
 
 
 def band_violations(ranked_runs: DataFrame, segments: DataFrame, epsilon: int) -> DataFrame:
-    """Keys whose rank is off the certified line by more than epsilon, by exact decimals; ranks meet the segments in ranges."""
-    rows = ranked_runs.select(F.col("level").cast("int").alias("level"), "key", "rank")
-    at = rightmost(rows.select("level", F.col("rank").alias("key")), segments.select("level", F.col("start_rank").alias("key")), ("level",))
-    at = at.select("level", F.col("key").alias("rank"), F.col("at").alias("segment"))
+    """Keys whose rank is off the certified line of their segment by more than epsilon, by exact decimals.
+
+    The rank of a repeated key is its first row's, and those of its other rows must follow.  Keys meet the segments in ranges of the key.
+    """
+    rows = ranked_runs.groupBy(F.col("level").cast("int").alias("level"), "key").agg(F.min("rank").alias("rank"), (F.max("rank") - F.min("rank") + 1 != F.count("*")).alias("apart"))
+    at = rightmost(rows.select("level", "key"), segments.select("level", F.col("start_key").cast("long").alias("key")), ("level",))
+    at = at.select("level", "key", F.col("at").alias("segment"))
     s = segments.select("level", "segment", "start_key", "slope_num", "origin_num", "denominator")
-    joined = rows.join(at, ["level", "rank"]).join(s, ["level", "segment"])
+    joined = rows.join(at, ["level", "key"]).join(s, ["level", "segment"])
     line = F.expr("slope_num * CAST(CAST(key AS decimal(20,0)) - CAST(start_key AS decimal(20,0)) AS decimal(20,0)) + origin_num")
-    return joined.where((F.expr(f"CAST(greatest(0, rank - {epsilon}) AS decimal(19,0)) * denominator") > line) | (line > F.expr(f"CAST(rank + {epsilon} AS decimal(19,0)) * denominator"))).select("level", "key", "rank")
+    return joined.where(F.col("apart") | (F.expr(f"CAST(greatest(0, rank - {epsilon}) AS decimal(19,0)) * denominator") > line) | (line > F.expr(f"CAST(rank + {epsilon} AS decimal(19,0)) * denominator"))).select("level", "key", "rank")

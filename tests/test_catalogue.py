@@ -85,7 +85,7 @@ def again(small, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["pgm_search_contract"])
+@pytest.mark.parametrize("name", ["pgm_search_contract", "pgm_certificate_band"])
 def test_query_equals_oracle_on_repeated_times(spark, again, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{again}/events.parquet'")

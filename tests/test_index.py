@@ -124,3 +124,12 @@ def test_tables_of_repeated_keys_are_built_as_single_keys(spark):
             builder.add(k, 1 + (k * 7 + lv) % 4)
         index = builder.index()
         assert [(r["start_key"], r["start_rank"], r["end_key"], r["end_rank"], r["n"]) for r in got if r["level"] == lv] == [(s.start_key, s.start_rank, s.end_key, s.end_rank, index.n) for s in index.segments]
+
+
+def test_wrong_ranks_of_repeated_keys_are_found(spark):
+    rows = [(0, k) for k in range(0, 200, 2) for _ in range(1 + 30 * (k % 3 == 0))]
+    segments = pgm.build_levels(spark.createDataFrame(rows, "level int, key long"), 2)
+    wrong = lambda off: [tuple(r) for r in pgm.band_violations(spark.createDataFrame([(lv, k, i + off.get(i, 0)) for i, (lv, k) in enumerate(rows)], "level int, key long, rank long"), segments, 2).collect()]
+    assert rows[100] == (0, rows[99][1]) == rows[101]
+    assert wrong({}) == []
+    assert wrong({100: 1000}) == [(0, rows[100][1], rows.index(rows[100]))]
