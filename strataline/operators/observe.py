@@ -6,14 +6,24 @@ events: op_index, class, seq, operation, slot_id.  operations: op_index, class
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.exact import ratio
 from strataline.operators.runs import ranked
+from strataline.session import settled
 
 CLASSES = ("BUILD_INITIAL", "QUERY", "UPSERT", "BUILD_PGM", "MERGE")
 ALLOWED_EVENT = ("seq", "operation", "slot_id")
+BLOCK, BLOCK_SLOTS = 2048, 1 << 20  # so many sets, and so many slots of all of them, make a block
+WIDE, DENSE = 512, 64  # slots multiplied at once; a slot of more than one in DENSE of a block pair's pairs is multiplied, others are unrolled
+JOINED = 64  # a row of a join on slots costs about as much as so many pairs in blocks
 
 
 class ScriptMismatch(ValueError):
@@ -58,31 +68,132 @@ def histogram(metrics: DataFrame, column: str) -> DataFrame:
 def pairs(queries: DataFrame, events: DataFrame) -> DataFrame:
     """a, b, intersection, union_size, jaccard, set_equal, sequence_equal for all a < b of the queries.
 
-    Intersections come from a join on slots; all pairs are what the metric is
-    about, so its result, and only that, is as large as the pairs.
+    All pairs are what the metric is about, so its result, and only that, is as large as
+    the pairs: they leave the tasks that make them, and what is shuffled is the sets.
     """
-    slots = events.select("op_index", "slot_id").distinct()
-    info = shapes(queries, events)
-    a = info.select(F.col("op_index").alias("a"), F.col("size").alias("size_a"), F.col("sequence").alias("seq_a"))
-    b = info.select(F.col("op_index").alias("b"), F.col("size").alias("size_b"), F.col("sequence").alias("seq_b"))
-    own = slots.join(queries.select("op_index"), "op_index", "left_semi")
-    common = own.select(F.col("op_index").alias("a"), "slot_id").join(own.select(F.col("op_index").alias("b"), "slot_id"), "slot_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("intersection"))
-    joined = a.join(b, F.col("a") < F.col("b")).join(common, ["a", "b"], "left")
-    inter = F.coalesce("intersection", F.lit(0))
-    union = F.col("size_a") + F.col("size_b") - inter
-    return joined.select(
-        "a", "b", inter.cast("long").alias("intersection"), union.cast("long").alias("union_size"), ratio(inter, union).alias("jaccard"),
-        ((inter == F.col("size_a")) & (inter == F.col("size_b"))).alias("set_equal"), (F.col("seq_a") == F.col("seq_b")).alias("sequence_equal"),
-    )
+    info = settled(shapes(queries, events).where("op_index IS NOT NULL").select("op_index", "size", "slots", F.unhex("sequence").alias("sequence")))
+
+    def work(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        both = intersections(a, b)
+        (op_a, size_a), (op_b, size_b) = ((_numbers(t, "op_index"), _numbers(t, "size")) for t in (a, b))
+        ids: dict[bytes, int] = {}
+        seq_a, seq_b = (np.array([ids.setdefault(x, len(ids)) for x in t["sequence"].to_pylist()], "int64") for t in (a, b))
+        step = max(1, 65536 // max(1, len(op_b)))
+        for i in range(0, len(op_a), step):
+            cut = slice(i, i + step)
+            one, n = op_a[cut, None], both[cut].astype("int64")
+            union = size_a[cut, None] + size_b - n
+            wanted = one < op_b if same else one != op_b
+            columns = (np.minimum(one, op_b), np.maximum(one, op_b), n, union, _ratios(n, union), (n == size_a[cut, None]) & (n == size_b), seq_a[cut, None] == seq_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(c, wanted.shape)[wanted]) for c in columns], ["a", "b", "intersection", "union_size", "jaccard", "set_equal", "sequence_equal"])
+
+    found = of_blocks(info, work, "a long, b long, intersection long, union_size long, jaccard double, set_equal boolean, sequence_equal boolean")
+    kind = info.schema["op_index"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("a", "b")})
+
+
+def of_blocks(sets: DataFrame, work: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of every two blocks of the sets (op_index, slots and more columns), and of each block with itself (same).
+
+    Blocks have about BLOCK sets or BLOCK_SLOTS slots; a set is sent once for each block, and no pair is shuffled.
+    """
+    count, slots = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("slots")), F.lit(0))).first()
+    n = max(1, math.ceil(count / BLOCK), math.ceil(slots / BLOCK_SLOTS))
+    dealt = sets.withColumns({"op_index": F.col("op_index").cast("long"), "size": F.col("size").cast("long"), "__block": F.pmod(F.xxhash64(F.col("op_index").cast("long")), F.lit(n))})
+    sent = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    sent = sent.withColumns({"__i": F.least("__block", "__other"), "__j": F.greatest("__block", "__other")}).drop("__other")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            keys = batch["__i"].to_numpy() * n + batch["__j"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z and keys[a] != at:
+                    yield from meet(at, held)
+                    at, held = keys[a], []
+                held.append(batch.slice(a, z - a))
+        yield from meet(at, held)
+
+    def meet(at: int | None, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if at is None:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        i, j = divmod(int(at), n)
+        first = len(rows) if i == j else int(np.searchsorted(_numbers(rows, "__block"), j))
+        if first and (i == j or first < len(rows)):
+            yield from work(rows.slice(0, first), rows if i == j else rows.slice(first), i == j)
+
+    return sent.repartition(min(n * (n + 1) // 2, 4096), "__i", "__j").sortWithinPartitions("__i", "__j", "__block", "op_index").mapInArrow(each, schema)
+
+
+def _numbers(rows: pa.Table, column: str) -> np.ndarray:
+    return rows[column].combine_chunks().to_numpy(zero_copy_only=False).astype("int64")
+
+
+def intersections(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """How many slots each set of one table shares with each of the other.
+
+    Slots of many pairs are multiplied as matrices, the others are unrolled pair by pair.
+    """
+    (row_a, slot_a), (row_b, slot_b) = (_members(t) for t in (a, b))
+    both, shared = np.zeros((len(a), len(b)), "int32"), np.intersect1d(slot_a, slot_b)
+    (row_a, at_a), (row_b, at_b) = ((r[m], np.searchsorted(shared, x[m])) for r, x in ((row_a, slot_a), (row_b, slot_b)) for m in (np.isin(x, shared),))
+    in_a, in_b = np.bincount(at_a, minlength=len(shared)), np.bincount(at_b, minlength=len(shared))
+    dense = in_a * in_b * DENSE > both.size
+    number = np.where(dense, np.cumsum(dense) - 1, -1)
+    for low in range(0, int(dense.sum()), WIDE):
+        sides = []
+        for row, at, rows in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            own = (number[at] >= low) & (number[at] < low + WIDE)
+            side = np.zeros((rows, min(WIDE, int(dense.sum()) - low)), "float32")
+            side[row[own], number[at[own]] - low] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype("int32")
+    row_a, at_a = row_a[~dense[at_a]], at_a[~dense[at_a]]
+    order = np.argsort(at_b, kind="stable")
+    starts, row_b, flat = np.cumsum(in_b) - in_b, row_b[order], both.reshape(-1)
+    for low in range(0, len(row_a), BLOCK):
+        row, at = row_a[low : low + BLOCK], at_a[low : low + BLOCK]
+        n = in_b[at]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
+        np.add.at(flat, np.repeat(row, n) * len(b) + row_b[place], 1)
+    return both
+
+
+def _members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and slot, for every slot of every set."""
+    slots = rows["slots"].combine_chunks()
+    n = slots.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(rows)), n), slots.flatten().to_numpy(zero_copy_only=False).astype("int64")
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and where each code is among them."""
+    top = int(codes.max(initial=0)) + 1
+    if top > 1 << 20:
+        found, where = np.unique(codes, return_inverse=True)
+        return found, where.reshape(codes.shape)
+    found = np.flatnonzero(np.bincount(codes.reshape(-1), minlength=top))
+    where = np.zeros(top, "int64")
+    where[found] = np.arange(len(found))
+    return found, where[codes]
+
+
+def _ratios(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """``ratio`` of whole numbers: each different pair of them is divided and rounded once."""
+    base = int(d.max(initial=0)) + 1
+    found, where = _counted(n * base + d)
+    return np.array([float(Decimal(repr(x // base / (x % base))).quantize(Decimal("1e-6"), ROUND_HALF_EVEN)) if x % base else 0.0 for x in found.tolist()], "float64")[where]
 
 
 def shapes(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """op_index, size, set, sequence: how many slots a query touches, and digests of them as a set and in order."""
+    """op_index, size, slots, set, sequence: the slots that a query touches, how many they are, and digests of them as a set and in order."""
     digest = lambda c: F.sha2(F.array_join(c.cast("array<string>"), ","), 256)
     order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "slot_id"))), lambda x: x["slot_id"])  # a query's own events
-    per = events.groupBy("op_index").agg(order.alias("o")).select("op_index", F.size(F.array_distinct("o")).alias("size"), digest(F.array_sort(F.array_distinct("o"))).alias("set"), digest(F.col("o")).alias("sequence"))
-    none = F.sha2(F.lit(""), 256)
-    return queries.select("op_index").join(per, "op_index", "left").select("op_index", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("set", none).alias("set"), F.coalesce("sequence", none).alias("sequence"))
+    per = events.groupBy("op_index").agg(order.alias("o")).select("op_index", F.size(F.array_distinct("o")).alias("size"), F.array_compact(F.array_distinct("o")).alias("slots"), digest(F.array_sort(F.array_distinct("o"))).alias("set"), digest(F.col("o")).alias("sequence"))
+    none, no_slots = F.sha2(F.lit(""), 256), F.expr("CAST(array() AS array<bigint>)")
+    return queries.select("op_index").join(per, "op_index", "left").select("op_index", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce(F.col("slots").cast("array<bigint>"), no_slots).alias("slots"), F.coalesce("set", none).alias("set"), F.coalesce("sequence", none).alias("sequence"))
 
 
 def pair_summary(queries: DataFrame, events: DataFrame) -> DataFrame:

@@ -340,3 +340,25 @@ def test_scripts_and_runs_differ(spark):
     for wrong in (same.limit(1), same.withColumn("class", F.lit("QUERY"))):
         with pytest.raises(observe.ScriptMismatch):
             observe.labels_of_script(script, wrong)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_of_several_blocks_are_those_of_sets(spark, seed, monkeypatch):
+    monkeypatch.setattr(observe, "BLOCK", 7)
+    monkeypatch.setattr(observe, "WIDE", 3)
+    rng = random.Random(seed)
+    traces = {i * 5 - 60: [rng.choice([rng.randrange(8), rng.randrange(-(10**12), 10**12) // 10**11]) for _ in range(rng.choice([0, 1, 3, 12, 30]))] for i in range(50)}
+    traces |= {1000: traces[-60], 1001: list(reversed(traces[-60]))}
+    queries = spark.createDataFrame([(i, "QUERY") for i in traces], "op_index long, class string")
+    events = spark.createDataFrame([(i, "QUERY", s, "READ", x) for i, xs in traces.items() for s, x in enumerate(xs)], "op_index long, class string, seq long, operation string, slot_id long")
+    found = observe.pairs(queries, events)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # pairs are neither shuffled nor met one by one
+    want = {}
+    for a in traces:
+        for b in traces:
+            if a < b:
+                x, y = set(traces[a]), set(traces[b])
+                want[a, b] = (len(x & y), len(x | y), round(len(x & y) / max(1, len(x | y)), 6), x == y, traces[a] == traces[b])
+    assert found.count() == len(want)
+    assert {(r["a"], r["b"]): tuple(r)[2:] for r in found.collect()} == want
