@@ -199,17 +199,15 @@ def shapes(queries: DataFrame, events: DataFrame) -> DataFrame:
 def pair_summary(queries: DataFrame, events: DataFrame) -> DataFrame:
     """One row about all pairs of queries; the mean is of the rounded values, and is rounded again.
 
-    Pairs without a common slot are counted, not made.  Queries with equal sets are one
-    row with their number, so only different sets that share a slot meet.
+    Queries with equal sets are one row with their number.  Different sets meet by their
+    slots where few share one, so pairs without a common slot are counted, not made; else
+    they meet in blocks, and pairs leave a task as counts of their sizes.
     """
-    info = shapes(queries, events)
-    sets = info.groupBy("set", "size").agg(F.count("*").alias("n"), F.min("op_index").alias("op_index"))
-    slots = events.select("op_index", "slot_id").distinct().join(sets.select("op_index"), "op_index", "left_semi")
+    info = settled(shapes(queries, events))
+    sets = settled(info.groupBy("set", "size").agg(F.count("*").alias("n"), F.min("op_index").alias("op_index"), F.first("slots").alias("slots")))
     twin = lambda n: F.col(n) * (F.col(n) - 1) / 2
-    common = slots.select(F.col("op_index").alias("a"), "slot_id").join(slots.select(F.col("op_index").alias("b"), "slot_id"), "slot_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    side = lambda x: sets.select(F.col("op_index").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"))
-    met = common.join(side("a"), "a").join(side("b"), "b").withColumn("times", F.col("n_a") * F.col("n_b"))
-    met = met.withColumn("jaccard", ratio(F.col("both"), F.col("size_a") + F.col("size_b") - F.col("both")))
+    met = _met_by_slots(sets) if _few_share(sets) else of_blocks(sets.select("op_index", "size", "n", "slots"), _sizes, "both long, sizes long, times long")
+    met = met.groupBy("both", "sizes").agg(F.sum("times").alias("times")).withColumn("jaccard", ratio(F.col("both"), F.col("sizes") - F.col("both")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     total = info.agg(F.count("*").alias("q")).select((F.col("q") * (F.col("q") - 1) / 2).cast("long").alias("pairs"))
     different = met.agg(zero(F.sum("times")).alias("met"), F.coalesce(F.sum(F.col("jaccard") * F.col("times")), F.lit(0.0)).alias("sum"), F.max("jaccard").alias("max"), F.min("jaccard").alias("min"))
@@ -226,6 +224,39 @@ def pair_summary(queries: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _few_share(sets: DataFrame) -> bool:
+    """Whether a join of the sets on their slots has so few rows that it costs less than all pairs in blocks."""
+    per = sets.select(F.explode("slots").alias("slot_id")).groupBy("slot_id").agg(F.count("*").cast("double").alias("n"))
+    rows = per.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    count = sets.count()
+    return rows * JOINED < count * (count - 1) / 2
+
+
+def _met_by_slots(sets: DataFrame) -> DataFrame:
+    """both, sizes, times of every two sets that share a slot, by a join on slots."""
+    slots = sets.select("op_index", F.explode("slots").alias("slot_id"))
+    common = slots.select(F.col("op_index").alias("a"), "slot_id").join(slots.select(F.col("op_index").alias("b"), "slot_id"), "slot_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    side = lambda x: sets.select(F.col("op_index").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"))
+    met = common.join(side("a"), "a").join(side("b"), "b")
+    return met.select("both", (F.col("size_a").cast("long") + F.col("size_b")).alias("sizes"), (F.col("n_a") * F.col("n_b")).alias("times"))
+
+
+def _sizes(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+    """both, sizes, times: how many pairs of queries share so many slots and have so many in all, of those that share one."""
+    both = intersections(a, b).astype("int64")
+    sizes = _numbers(a, "size")[:, None] + _numbers(b, "size")
+    wanted = (both > 0) & (np.triu(np.ones(both.shape, bool), 1) if same else True)
+    base = int(sizes.max(initial=0)) + 1
+    found, where = _counted((both * base + sizes)[wanted])
+    n_a, n_b = _numbers(a, "n"), _numbers(b, "n")
+    if n_a.max(initial=1) == n_b.max(initial=1) == 1:
+        times = np.bincount(where, minlength=len(found))
+    else:
+        times = np.zeros(len(found), "int64")
+        np.add.at(times, where, (n_a[:, None] * n_b)[wanted])
+    yield pa.RecordBatch.from_arrays([pa.array(c.astype("int64")) for c in (found // base, found % base, times)], ["both", "sizes", "times"])
+
+
 def hotness(events: DataFrame) -> DataFrame:
     """slot_id, query_count (distinct operations), access_count."""
     per = events.groupBy("slot_id", "op_index").agg(F.count("*").alias("n"))

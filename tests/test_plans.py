@@ -362,3 +362,27 @@ def test_pairs_of_several_blocks_are_those_of_sets(spark, seed, monkeypatch):
                 want[a, b] = (len(x & y), len(x | y), round(len(x & y) / max(1, len(x | y)), 6), x == y, traces[a] == traces[b])
     assert found.count() == len(want)
     assert {(r["a"], r["b"]): tuple(r)[2:] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize(("joined", "block"), [(0, 7), (0, 2048), (10**9, 7)])
+def test_pair_summary_is_that_of_all_pairs(spark, joined, block, monkeypatch):
+    monkeypatch.setattr(observe, "BLOCK", block)
+    rng = random.Random(block)
+    traces = {i: [rng.randrange(12) for _ in range(rng.choice([0, 1, 2, 9, 30]))] for i in range(60)}
+    traces |= {i + 60: traces[i] for i in range(0, 60, 4)}
+    queries = spark.createDataFrame([(i, "QUERY") for i in traces], "op_index long, class string")
+    events = spark.createDataFrame([(i, "QUERY", s, "READ", x) for i, xs in traces.items() for s, x in enumerate(xs)], "op_index long, class string, seq long, operation string, slot_id long")
+    pairs = observe.pairs(queries, events).collect()
+    monkeypatch.setattr(observe, "JOINED", joined)
+    got = observe.pair_summary(queries, events).first()
+    js = [r["jaccard"] for r in pairs]
+    assert got["pair_count"] == len(pairs) and got["mean_jaccard"] == pytest.approx(sum(js) / len(js), abs=1e-6) and (got["max_jaccard"], got["min_jaccard"]) == (max(js), min(js))
+    assert (got["intersecting"], got["set_equal"], got["sequence_equal"]) == tuple(sum(map(bool, x)) for x in zip(*[(r["intersection"], r["set_equal"], r["sequence_equal"]) for r in pairs], strict=True))
+
+
+def test_hot_slots_are_not_joined_pair_by_pair(spark):
+    queries = spark.createDataFrame([(i, "QUERY") for i in range(40)], "op_index long, class string")
+    events = spark.createDataFrame([(i, "QUERY", s, "READ", x) for i in range(40) for s, x in enumerate((0, 1, i + 2))], "op_index long, class string, seq long, operation string, slot_id long")
+    found = observe.pair_summary(queries, events)
+    assert "slot_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # sets meet in blocks
+    assert (found.first()["pair_count"], found.first()["intersecting"], found.first()["mean_jaccard"]) == (780, 780, 0.5)
